@@ -11,6 +11,7 @@ A group is one task of bounded size; nothing goes to the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,48 +28,73 @@ WINDOW = 4096
 #: Documents of a group, on average.
 GROUP_DOCS = 8192
 #: Words that a worker's table of ids holds at most, and the longest one kept.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 600_000
 KEPT_BYTES = 48
+#: Other than letters whose class and lower case no Unicode version changed.
+FAR = re.compile("[^a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]")
 #: Combinations that one system holds at most, and its passes.
 COMBINATIONS = 2000
 PASSES = 25
 
 
-class WordIds(dict):
+class WordIds:
     """Word without ASCII white space to its ids as little-endian uint32.
 
     The tokenizer drops white space and never merges over it, so a text's ids
-    are those of its words in a row.
+    are those of its words in a row. It also lower-cases, so words are looked
+    up by their lower case, except in texts that may hold a special string.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def load(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """Encodes the block's new words; returns those too long to keep."""
-        if len(self) > TABLE_ENTRIES:
-            self.clear()
-        fresh, long = set(), {}
-        for words in texts:
-            fresh.update(words)
-        fresh = [x for x in fresh if x not in self]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for word, made in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                (self if len(word) <= KEPT_BYTES else long)[word] = np.asarray(made.ids, "<u4").tobytes()
-        return long
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.marks = {x: self.encoded([x.decode()])[0] for x in (b".", b",")}
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Words of near letters only: one call for many, cut where a word ends."""
+        made = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[made]) + 1) * 4
+        if len(cuts) != len(words):
+            return self.encoded(words)
+        raw, at, out = made.tobytes(), 0, []
+        for cut in cuts.tolist():
+            out.append(raw[at:cut])
+            at = cut
+        return out
+
+    def load(self, distinct: set[bytes]) -> None:
+        """Encodes the words that are not known yet."""
+        known = self.known
+        if len(known) > TABLE_ENTRIES:
+            known = self.known = {x: known[x] for x in distinct if x in known and len(x) <= KEPT_BYTES}
+        fresh = distinct.difference(known)
+        stems = {x: x[:-1] if x[-1:] in self.marks and len(x) > 1 else x for x in fresh}
+        plain, other = [], []
+        for x in {*stems.values()}.difference(known):
+            word = x.decode()
+            (plain if word.isalpha() and not FAR.search(word) else other).append(word)
+        for take, words in ((self.plain, plain), (self.encoded, other)):
+            for at in range(0, len(words), 1000):
+                part = words[at : at + 1000]
+                known.update(zip([x.encode() for x in part], take(part)))
+        for word, stem in stems.items():
+            if word is not stem:
+                known[word] = known[stem] + self.marks[word[-1:]] if not FAR.search(stem.decode()) else self.encoded([word.decode()])[0]
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [x.split() for x in texts]
-        long = self.load(split)
+        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        self.load(set().union(*split))
+        get = self.known.__getitem__
         for words in split:
-            if long:
-                yield b"".join([self[x] if x in self else long[x] for x in words])
-            else:
-                yield b"".join(map(self.__getitem__, words))
+            yield b"".join(map(get, words))
 
 
 @lru_cache(maxsize=4)
