@@ -183,6 +183,20 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def rejecting(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns. Without
+    a model, all rows with a letter stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for part, raw in blocks(batches):
+            rejected = model.predict(raw)[2] if model else [not has_letter(x) for x in raw]
+            yield part.filter(pa.array([not x for x in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))

@@ -9,13 +9,14 @@ from .language import op4_language
 from .lm_scores import OP7_SQL, op7_lm_scores
 from .near_duplicates import OP6_SQL, op6_near_duplicates
 from .packing import op10_packing
+from .pii import op1_personal_data
 from .quality import OP3_SQL, op3_quality_rules
 from .substring_duplicates import OP8_SQL, op8_substring_duplicates
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Query]:
-    made = [op2_decontamination, op3_quality_rules, op4_language, op5_chat_formatting, op6_near_duplicates, op7_lm_scores, op8_substring_duplicates, op9_token_counts, op10_packing]
+    made = [op1_personal_data, op2_decontamination, op3_quality_rules, op4_language, op5_chat_formatting, op6_near_duplicates, op7_lm_scores, op8_substring_duplicates, op9_token_counts, op10_packing]
     return {f.__name__: f for f in made}
 
 
