@@ -39,6 +39,8 @@ BANDS, ROWS = 25, 5
 MINIMA, BITS = 192, 4
 #: Candidates with a lower estimate are dropped: over five standard errors below 0.85.
 LEAST_ESTIMATE = 0.70
+#: Logarithm of the bits of a set's map.
+MAP_BITS = 12
 #: Classes that a block holds on either side.
 BLOCK_CLASSES = 512
 #: Bytes of ids that may be broadcast.
@@ -109,17 +111,32 @@ def signatures(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>")
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """The set's members by the first bits of their hashes."""
+    bits = np.zeros(1 << MAP_BITS, np.uint8)
+    bits[(shingles >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
+    """A bound of the intersection's size: a bit of one map that the other lacks
+    stands for a member at least that the other set lacks."""
+    only_x, only_y = (np.bitwise_count(z).sum(axis=-1, dtype=np.int64) for z in (x & ~y, y & ~x))
+    return np.minimum(size_x - only_x, size_y - only_y)
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rep, grams`` (sorted hashes as bytes) of the documents named in ``wanted(rep)``."""
+    """``rep, grams (sorted hashes as bytes), bits`` of the documents named in ``wanted(rep)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in blocks(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingle_hashes(x)).tobytes() for x in raw], pa.binary())], ["rep", "grams"])
+            sets = [np.unique(shingle_hashes(x)) for x in raw]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(bitmap, sets), pa.binary())], ["rep", "grams", "bits"])
 
     if wanted.count() * 8 <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     found = id_text(docs).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
-    return found.mapInArrow(run, "rep long, grams binary").dropDuplicates(["rep", "grams"])
+    return found.mapInArrow(run, "rep long, grams binary, bits binary").dropDuplicates(["rep", "grams"])
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -167,11 +184,13 @@ def led(rows: DataFrame, order) -> DataFrame:
     return rows.join(leaders, "band").where("rep <> leader AND component <> own").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
 
 
-def compared(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def compared(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs of all members of a bucket that lie in different components.
 
     Members outside the bucket's largest component are compared with all
-    others, in blocks; members of the largest one are not compared with each other.
+    others, in blocks; members of the largest one are not compared with each
+    other. Pairs that pass the estimate must also pass a bound of the
+    intersection by the sets' maps, so that hardly any but links are left.
     """
     sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total")).select("band", F.col("m.component").alias("main"), F.col("m.n").alias("n_main"), F.col("total"))
@@ -181,15 +200,16 @@ def compared(rows: DataFrame, classes: DataFrame) -> DataFrame:
     placed = placed.withColumn("chunk", F.when(F.col("is_main"), F.col("few") + F.pmod(spread, F.col("many")).cast("int")).otherwise(F.pmod(spread, F.col("few")).cast("int")))
     # a block is a pair of chunks (i, j), i <= j, of which i lies outside the largest component
     tasks = F.when(F.col("is_main"), F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1), lambda j: F.struct(F.least(j, F.col("chunk")).alias("i"), F.greatest(j, F.col("chunk")).alias("j"))))
-    members = placed.join(classes.select("rep", "signature", "bands", "n_shingles"), "rep")
-    members = members.select("band", F.explode(tasks).alias("t"), "rep", "component", "chunk", "signature", "bands", "n_shingles").select("band", "t.i", "t.j", "rep", "component", "chunk", "signature", "bands", "n_shingles")
+    carried = ("rep", "component", "chunk", "signature", "bands", "bits", "n_shingles")
+    members = placed.join(classes.select("rep", "signature", "bands"), "rep").join(sets.select("rep", "bits", (F.octet_length("grams") / 8).cast("long").alias("n_shingles")), "rep")
+    members = members.select("band", F.explode(tasks).alias("t"), *carried).select("band", "t.i", "t.j", *carried)
 
     def compare(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         band, i, j = (x.as_py() for x in key)
         part = part.combine_chunks()
         n = part.num_rows
         rep, component, chunk, size = (part.column(x).to_numpy() for x in ("rep", "component", "chunk", "n_shingles"))
-        words = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint64).reshape(n, -1)
+        words, maps = (np.frombuffer(b"".join(part.column(x).to_pylist()), np.uint64).reshape(n, -1) for x in ("signature", "bits"))
         bands = np.asarray(part.column("bands").to_pylist(), np.int64).reshape(n, BANDS)
         here = (bands == band).argmax(axis=1)
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
@@ -201,6 +221,8 @@ def compared(rows: DataFrame, classes: DataFrame) -> DataFrame:
             y = y[estimates(words[y], words[x]) >= LEAST_ESTIMATE]
             # only in the first band that both share
             y = y[(bands[y] == bands[x]).argmax(axis=1) == here[x]]
+            both = most_shared(maps[y], maps[x], size[y], size[x])
+            y = y[100 * both >= PERCENT * (size[y] + size[x] - both)]
             a.append(np.minimum(rep[y], rep[x]))
             b.append(np.maximum(rep[y], rep[x]))
         whole = lambda z: pa.array(np.concatenate([np.empty(0, np.int64), *z]), pa.int64())
@@ -239,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         elif step == "random":
             pairs = estimated(led(rest, F.xxhash64("band", "rep")), candidates)
         else:
-            pairs = compared(rest, candidates)
+            pairs = compared(rest, candidates, sets)
         more = staged(linked(staged(pairs, "pairs"), sets), "confirmed")
         links = more if links is None else links.union(more)
         found = staged(components(links), "components")
