@@ -37,8 +37,6 @@ SPAN = WINDOW - STEP
 SHARD_PLACES = 400_000
 #: Distinct segments beyond which an anchor is split.
 SPLIT_SEGMENTS = 1000
-#: Bytes of keys that may be broadcast; beyond that, the join shuffles.
-BROADCAST_BYTES = 40 << 20
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -91,12 +89,12 @@ def all_segments(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_key long, first int, n int, anchor long, content long")
 
 
-def indexed_items(rows: DataFrame, distinct: DataFrame, n_distinct: int) -> DataFrame:
+def indexed_items(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """``anchor, content, item, offset, split, weight, places`` of each distinct
     segment, cut from the text that owns it: one row, or one per window of a
     split anchor. ``places``: the symbols' hashes, as bytes."""
     wanted = distinct.groupBy(F.col("owner.doc_id").alias("owner_id"), F.col("owner.row_key").alias("owner_key")).agg(F.collect_list(F.struct(F.col("owner.first").alias("first"), "n", "anchor", "content", "weight", "split")).alias("wanted"))
-    found = rows.join(if_small(wanted, n_distinct * 64), (F.col("row_key") == F.col("owner_key")) & F.col("doc_id").eqNullSafe(F.col("owner_id"))).select("text", "wanted")
+    found = rows.join(wanted, (F.col("row_key") == F.col("owner_key")) & F.col("doc_id").eqNullSafe(F.col("owner_id"))).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in blocks(batches):
@@ -163,23 +161,18 @@ def repeated_windows(items: DataFrame, shards: int) -> DataFrame:
     return rows.groupBy("shard").applyInArrow(run, "anchor long, item long, low int, high int")
 
 
-def if_small(df: DataFrame, n_bytes: int) -> DataFrame:
-    """``df``, to be broadcast if it is known to be small; else the join shuffles."""
-    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
-
-
 def repeated_intervals(rows: DataFrame) -> DataFrame:
     """``doc_id, row_key, spans``: word intervals [low, high) covered by windows
     that occur more than once, for the rows that have any."""
     runs = staged(all_segments(rows), "segments")
     repeated = staged(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "anchors")
-    runs = staged(runs.join(if_small(repeated, repeated.count() * 8), "anchor"), "runs")
+    runs = staged(runs.join(repeated, "anchor"), "runs")
     distinct = runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.min(F.struct("doc_id", "row_key", "first")).alias("owner"))
     distinct = staged(distinct, "distinct")
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > SPLIT_SEGMENTS).select("anchor", F.lit(True).alias("crowded"))
     n_distinct, n_windows = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct = distinct.join(crowded, "anchor", "left").withColumn("split", F.coalesce("crowded", F.lit(False)))
-    items = staged(indexed_items(rows, distinct, n_distinct), "items")
+    items = staged(indexed_items(rows, distinct), "items")
     whole = items.where("NOT split").select("anchor", "item", "weight", "places", F.xxhash64("anchor").alias("shard_key"))
     single = items.where("split").dropDuplicates(["anchor", "content", "offset"])
     single = single.groupBy("anchor", "item").agg(F.sum("weight").alias("weight"), F.first("places").alias("places")).select("anchor", "item", "weight", "places", F.xxhash64("anchor", "item").alias("shard_key"))
@@ -202,8 +195,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = keyed(docs)
     spans = staged(repeated_intervals(rows), "spans").withColumnsRenamed({"doc_id": "span_id", "row_key": "span_key"})
-    n_rows, n_spans = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    marked = rows.join(if_small(spans, 32 * n_rows + 16 * n_spans), (F.col("row_key") == F.col("span_key")) & F.col("doc_id").eqNullSafe(F.col("span_id")), "left").select("doc_id", "text", "spans")
+    marked = rows.join(spans, (F.col("row_key") == F.col("span_key")) & F.col("doc_id").eqNullSafe(F.col("span_id")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in blocks(batches):
