@@ -4,8 +4,8 @@ Only DataFrame expressions are used. Seeds are the entities that four fixed
 patterns find and a check confirms. The words before a seed are a lexical
 pattern; a pattern's slot is also filled by other tokens that look like
 identifiers, and by plain words. Over the graph of patterns and fillers,
-scores go back and forth for ``ROUNDS`` rounds: a pattern is as good as the
-share of its slot that confident instances fill, an instance as good as its
+scores go back and forth for ``ROUNDS`` rounds, among patterns whose slots
+identifiers can fill well enough at all: a pattern is as good as the share of its slot that confident instances fill, an instance as good as its
 patterns together. Identifiers in the slots of good patterns become spans of
 the kind ``id``; words that only sometimes precede an identifier never do.
 """
@@ -114,6 +114,14 @@ def plain_fillers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return triples.join(contexts, "context", "left_semi").where(~F.col("word").rlike("[0-9]")).groupBy("context").agg(F.count(F.lit(1)).alias("n_plain"))
 
 
+def fuller(slots: DataFrame, docs: DataFrame) -> DataFrame:
+    """The slots that identifiers could still fill well enough, given the plain
+    words that ``docs`` put into them."""
+    plain = plain_fillers(docs, slots.select("context"))
+    rows = slots.join(plain, "context", "left").where(F.col("n_values") >= LEAST_SCORE * (F.col("n_values") + F.coalesce("n_plain", F.lit(0))))
+    return staged(rows.drop("n_plain"), "slots")
+
+
 def scored(edges: DataFrame, slots: DataFrame) -> DataFrame:
     """``context, score`` after the rounds, from ``edges(context, value, seed)``
     and ``slots(context, n)``, the fillers of each slot."""
@@ -142,6 +150,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     edges = seen.groupBy("context", "value").agg(F.max("seed").alias("seed"))
     slots = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n_values"), F.count_if("seed").alias("n_seeds"))
     slots = staged(slots.where(F.col("n_values") >= LEAST_FILLERS), "slots")
+    if slots.where("n_seeds > 0").isEmpty():
+        return found.select("doc_id", "row_key", spans, none.alias("added"))
+    # plain words count in full only where those of texts with a digit leave a chance
+    slots = fuller(slots, docs.where(docs["text"].cast("string").rlike("[0-9]")))
     if slots.where("n_seeds > 0").isEmpty():
         return found.select("doc_id", "row_key", spans, none.alias("added"))
     plain = plain_fillers(docs, slots.select("context"))
