@@ -30,8 +30,8 @@ ENTRIES = 1 << 20
 WORD_BYTES = 48
 INNER = 0.7
 #: Words whose counts a task holds before it hands them on.
-HELD_WORDS = 400_000
-HELD_BIGRAMS = 4_000_000
+HELD_WORDS = 250_000
+HELD_BIGRAMS = 2_000_000
 #: Bytes of target ids that may be broadcast.
 BROADCAST_BYTES = 16 << 20
 
