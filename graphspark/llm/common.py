@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python block holds, a single longer text excepted.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Entries that a worker's word cache holds before it is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
+#: Rows of an Arrow batch between the JVM and Python, at most.
+ARROW_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +44,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small, if the session allows larger ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, so that no other column can clash."""
+    bounded(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
@@ -62,6 +72,9 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             part = batch.slice(at, end - at)
             yield part, [x or b"" for x in pc.cast(part.column(part.schema.get_field_index(column)), pa.binary()).to_pylist()]
             at = end
+    # the worker goes on to other tasks, perhaps of another kind
+    WORD_HASHES.clear()
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):

@@ -80,7 +80,9 @@ def measured(docs: DataFrame) -> DataFrame:
     # each repeated window adds the words up to the next one, three at most
     steps = F.expr("aggregate(transform(sequence(1, size(places) - 1), k -> least(3, places[k] - places[k - 1])), 0, (a, x) -> a + x)")
     n_repeat = F.when(F.size("places") > 1, steps + 3).when(F.size("places") == 1, F.lit(3)).otherwise(F.lit(0))
-    return rows.select(*kept, n_repeat.cast("long").alias("n_repeat_words")).select("doc_id", *MEASURES)
+    rows = rows.select(*kept, n_repeat.cast("long").alias("n_repeat_words"))
+    # a filter on a measure must not be pushed below, where lambdas would compute it for each word
+    return rows.select(F.inline(F.array(F.struct("doc_id", *MEASURES))))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -103,14 +105,17 @@ def apply_policy(entries: DataFrame, policy: int = POLICY) -> DataFrame:
 
 def ablations(entries: DataFrame, policy: int = POLICY) -> DataFrame:
     """One row per rule of a policy: ``rule, n_failed, n_only`` (rows that this
-    rule alone drops, so what leaving it out would keep), from one pass over the bits."""
+    rule alone drops, so what leaving it out would keep). The ledger is summed
+    by its bits once, which leaves a row per pattern of failures; a stored
+    ledger (Parquet) is not evaluated again."""
     whole = mask(policy)
     names = [name for name, _ in RULES]
     chosen = [(name, 1 << names.index(name)) for name in POLICIES[policy]]
-    hit = F.col("failed").bitwiseAND(F.lit(whole))
-    sums = entries.agg(*(F.count_if(hit.bitwiseAND(F.lit(bit)) != 0).alias(f"f_{name}") for name, bit in chosen), *(F.count_if(hit == bit).alias(f"o_{name}") for name, bit in chosen))
-    rows = F.array(*(F.struct(F.lit(name).alias("rule"), F.col(f"f_{name}").alias("n_failed"), F.col(f"o_{name}").alias("n_only")) for name, _ in chosen))
-    return sums.select(F.explode(rows).alias("r")).select("r.*")
+    patterns = entries.groupBy(F.col("failed").bitwiseAND(F.lit(whole)).alias("hit")).agg(F.count(F.lit(1)).alias("n"))
+    rules = entries.sparkSession.createDataFrame(chosen, "rule string, bit long")
+    met = patterns.join(F.broadcast(rules), F.col("hit").bitwiseAND(F.col("bit")) != 0)
+    sums = met.groupBy("rule").agg(F.sum("n").alias("n_failed"), F.sum(F.when(F.col("hit") == F.col("bit"), F.col("n")).otherwise(F.lit(0))).alias("n_only"))
+    return F.broadcast(rules).join(sums, "rule", "left").select("rule", F.coalesce("n_failed", F.lit(0)).alias("n_failed"), F.coalesce("n_only", F.lit(0)).alias("n_only"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

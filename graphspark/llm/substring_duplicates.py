@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, WORD_HASHES, blocks, gram_hashes, mixed, ranges, sha256_hex, staged, table
+from .common import MIX, WORD_HASHES, blocks, bounded, gram_hashes, mixed, ranges, sha256_hex, staged, table
 from .fm_index import FMIndex
 
 #: Words of a window, of an anchor, and between the symbols of a window.
@@ -34,7 +34,7 @@ WINDOW, ANCHOR, STEP = 35, 8, 5
 SYMBOLS = WINDOW // STEP
 SPAN = WINDOW - STEP
 #: Places that a shard indexes on average.
-SHARD_PLACES = 400_000
+SHARD_PLACES = 250_000
 #: Distinct segments beyond which an anchor is split.
 SPLIT_SEGMENTS = 1000
 
@@ -73,6 +73,7 @@ def segments(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, row_key``: rows with one id and different texts stay apart."""
+    bounded(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
