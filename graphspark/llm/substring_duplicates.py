@@ -106,7 +106,7 @@ def indexed_items(rows: DataFrame, distinct: DataFrame) -> DataFrame:
                     first, n = x["first"], x["n"]
                     if x["split"]:
                         picked = symbols[first + np.arange(n)[:, None] + STEP * np.arange(SYMBOLS)]
-                        made = [(int(gram_hashes(p, SYMBOLS).view(np.int64)[0]), k, p.tobytes()) for k, p in enumerate(picked)]
+                        made = [(int(gram_hashes(p, SYMBOLS).view(np.int64)[0]), k, symbols[first + k : first + k + 1 + SPAN].tobytes()) for k, p in enumerate(picked)]
                     else:
                         made = [(x["content"], 0, symbols[first : first + n + SPAN].tobytes())]
                     for item, offset, places in made:

@@ -70,7 +70,7 @@ def test_fm_index_counts():
     rng = np.random.default_rng(3)
     text = rng.integers(1, 6, 3000)
     text[::50] = 0
-    weights = rng.integers(1, 3, len(text))
+    weights = np.repeat(rng.integers(1, 3, 60), 50)  # one weight per string
     index = FMIndex(text, 6, 7, weights)
     starts = np.array([k for k in range(len(text) - 7) if (text[k : k + 7] > 0).all()])
     count = Counter()
