@@ -12,14 +12,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: The role whose texts carry loss.
@@ -90,11 +89,6 @@ class Template:
             yield unescape_role(role), unescape(text)
 
 
-@lru_cache(maxsize=4)
-def _template(path: str) -> Template:
-    return Template(path)
-
-
 def format_chats(conversations: DataFrame, tokenizer: str) -> DataFrame:
     """One row per turn, by ``conv_id, seq`` within partitions that hold whole
     conversations: ``conv_id, seq (0..), role, first_id (ids of the
@@ -109,7 +103,7 @@ def format_chats(conversations: DataFrame, tokenizer: str) -> DataFrame:
     rows = c.select(c["conv_id"].cast("long").alias("conv_id"), c["turn"].cast("long").alias("turn"), F.coalesce(c["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(c["text"].cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, now, seq, first = _template(tokenizer), object(), 0, 0
+        template, now, seq, first = held(f"chat {tokenizer}", lambda: Template(tokenizer)), object(), 0, 0
         for batch in batches:
             out = [[], [], [], [], [], []]
             for conv, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
@@ -128,7 +122,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """Digests of what the ids and masks of ``format_chats`` say, per conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, now, sums, done = _template(tokenizer), None, None, []
+        template, now, sums, done = held(f"chat {tokenizer}", lambda: Template(tokenizer)), None, None, []
         begun = False
 
         def ended() -> None:

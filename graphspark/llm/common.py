@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -92,6 +94,26 @@ class WordHashes(dict):
 
 WORD_HASHES = WordHashes()
 
+#: What this worker keeps from task to task: the tables of one operator.
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object] = dict) -> object:
+    """The worker's tables ``name``, made if need be; those of the operator that
+    it ran before are dropped first, so that a worker that goes from stage to
+    stage of a pipeline doesn't gather all of them."""
+    if name not in _HELD:
+        _HELD.clear()
+        WORD_HASHES.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xD6E8FEB86659FD93)
 

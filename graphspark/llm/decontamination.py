@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, blocks, id_text, ranges, sha256_hex, table
+from .common import MIX, blocks, held, id_text, ranges, sha256_hex, table
 
 #: Consecutive item words that make a window.
 WINDOW_WORDS = 10
@@ -184,6 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held("benchmark")
             tables = Benchmark(shared.value, window)
             for part, raw in blocks(batches):
                 before, known = part.column(4).to_pylist(), part.column(5).to_pylist()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, table
+from .common import blocks, held, id_text, table
 
 DIMENSIONS = 8192
 #: Labelled texts of each language that the centroids are fitted on, at most.
@@ -123,6 +123,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = known.join(F.broadcast(names), "doc_id").where("lang = language").select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language")
         for part, raw in blocks(batches):
             kept = [k for k, x in enumerate(raw) if has_letter(x)]
             at, values = [], []
@@ -174,6 +175,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language")
         model = shared.value
         for part, raw in blocks(batches):
             names, scores, rejected = model.predict(raw) if model else ([UNKNOWN] * len(raw), np.zeros(len(raw)), [True] * len(raw))
@@ -189,6 +191,7 @@ def rejecting(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language")
         model = shared.value
         for part, raw in blocks(batches):
             rejected = model.predict(raw)[2] if model else [not has_letter(x) for x in raw]

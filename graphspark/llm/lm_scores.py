@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, staged, table
+from .common import blocks, held, id_text, staged, table
 
 #: Words and bigrams of the model at most; the least share of a kept one is the reciprocal.
 ENTRIES = 1 << 20
@@ -40,6 +40,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """``word, n, n_target`` over rows ``text, target``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("scores")
         sums: dict[bool, Counter] = {False: Counter(), True: Counter()}
 
         def flush() -> pa.RecordBatch:
@@ -89,6 +90,7 @@ def pair_counts(rows: DataFrame, shared) -> DataFrame:
     """``pair, n, n_target`` over rows ``text, target``, of words in the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("scores")
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -160,6 +162,7 @@ def lm_scores(docs: DataFrame, targets: DataFrame, entries: int = ENTRIES) -> Da
     shared = spark.sparkContext.broadcast((pairs, models))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("scores")
         pairs, models = shared.value
         for part, raw in blocks(batches):
             flat, sizes = shared_words.value.numbered(raw)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_HASHES, blocks, gram_hashes, id_text, mixed, staged, table
+from .common import WORD_HASHES, blocks, gram_hashes, held, id_text, mixed, staged, table
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -93,6 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     null where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near")
         for part, raw in blocks(batches, limit=256 << 10):
             sets = [shingle_hashes(x) for x in raw]
             distinct = [np.unique(x) for x in sets]
@@ -129,6 +130,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rep, grams (sorted hashes as bytes), bits`` of the documents named in ``wanted(rep)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near")
         for part, raw in blocks(batches):
             sets = [np.unique(shingle_hashes(x)) for x in raw]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(bitmap, sets), pa.binary())], ["rep", "grams", "bits"])
@@ -143,6 +145,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     """The pairs ``a, b`` whose full sets confirm the link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
@@ -162,6 +165,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The distinct pairs ``a, b`` whose signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near")
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(estimates(x, y) >= LEAST_ESTIMATE))

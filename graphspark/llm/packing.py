@@ -15,14 +15,13 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, table
+from .common import blocks, held, id_text, table
 
 WINDOW = 4096
 #: Documents of a group, on average.
@@ -46,9 +45,14 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for words that need no normalising, without its own table of words
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if hasattr(self.model.model, "_resize_cache"):
+            self.model.model._resize_cache(0)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
@@ -60,7 +64,7 @@ class WordIds:
 
     def plain(self, words: list[str]) -> list[bytes]:
         """Words of near letters only: one call for many, cut where a word ends."""
-        made = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        made = np.asarray(self.model.encode_batch_fast([" ".join(words).lower()], add_special_tokens=False)[0].ids, "<u4")
         cuts = (np.flatnonzero(self.ends[made]) + 1) * 4
         if len(cuts) != len(words):
             return self.encoded(words)
@@ -97,11 +101,6 @@ class WordIds:
             yield b"".join(map(get, words))
 
 
-@lru_cache(maxsize=4)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def combinations(lengths: np.ndarray, counts: np.ndarray, window: int = WINDOW, most: int = COMBINATIONS) -> list[tuple[int, ...]]:
     """Combinations of up to four of ``lengths`` whose sum fills the window:
     for each pair that is frequent or large, the largest length that still
@@ -206,7 +205,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDO
     """One row per piece: whole windows of each document's ids, then the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tail = _words(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        words, tail = held(f"packing {tokenizer}", lambda: WordIds(tokenizer)), np.asarray([end_id], "<u4").tobytes()
         for part, raw in blocks(batches):
             rows = [[], [], [], [], []]
             for doc, ids in zip(part.column(0).to_pylist(), words.ids(raw)):

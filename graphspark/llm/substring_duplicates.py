@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, WORD_HASHES, blocks, bounded, gram_hashes, mixed, ranges, sha256_hex, staged, table
+from .common import MIX, WORD_HASHES, blocks, bounded, gram_hashes, held, mixed, ranges, sha256_hex, staged, table
 from .fm_index import FMIndex
 
 #: Words of a window, of an anchor, and between the symbols of a window.
@@ -80,6 +80,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def all_segments(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("substring")
         for part, raw in blocks(batches):
             words = [x.split() for x in raw]
             hashes = np.concatenate([np.empty(0, np.uint64), *(WORD_HASHES.of(x) for x in words)])
@@ -98,6 +99,7 @@ def indexed_items(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     found = rows.join(wanted, (F.col("row_key") == F.col("owner_key")) & F.col("doc_id").eqNullSafe(F.col("owner_id"))).select("text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("substring")
         for part, raw in blocks(batches):
             out = [[], [], [], [], [], [], []]
             for text, own in zip(raw, part.column(1).to_pylist()):
@@ -145,6 +147,7 @@ def repeated_windows(items: DataFrame, shards: int) -> DataFrame:
     """``anchor, item, low, high``: runs [low, high) of windows that occur twice."""
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        held("substring")
         # rows that repeat in the input have brought their items more than once
         once = {x: k for k, x in enumerate(zip(part.column("anchor").to_pylist(), part.column("item").to_pylist()))}
         part = part.take(pa.array(sorted(once.values()), pa.int64()))
@@ -199,6 +202,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     marked = rows.join(spans, (F.col("row_key") == F.col("span_key")) & F.col("doc_id").eqNullSafe(F.col("span_id")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("substring")
         for part, raw in blocks(batches):
             counts, removed, merged, kept = [], [], [], []
             for text, found in zip(raw, part.column(2).to_pylist()):

@@ -12,14 +12,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, table
+from .common import blocks, held, id_text, table
 
 #: Pre-tokens that a worker's table of piece counts holds at most.
 TABLE_ENTRIES = 500_000
@@ -30,11 +29,6 @@ KEPT_CHARS = 64
 FAR = re.compile("[^\u0000-ȳ]")
 
 
-@lru_cache(maxsize=4)
-def _counter(path: str) -> "PieceCounter":
-    return PieceCounter(path)
-
-
 class PieceCounter:
     """Token counts of whole texts for one byte-level BPE file."""
 
@@ -92,7 +86,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer)
+        counter = held(f"counts {tokenizer}", lambda: PieceCounter(tokenizer))
         for part, raw in blocks(batches):
             made = counter.count([x.decode() for x in raw])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(made, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
