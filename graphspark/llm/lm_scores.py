@@ -91,12 +91,12 @@ def pair_counts(rows: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("scores")
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            pairs = np.concatenate([x for x, _ in held]) if held else np.empty(0, np.int64)
-            target = np.concatenate([x for _, x in held]) if held else np.empty(0, bool)
-            held.clear()
+            pairs = np.concatenate([x for x, _ in waiting]) if waiting else np.empty(0, np.int64)
+            target = np.concatenate([x for _, x in waiting]) if waiting else np.empty(0, bool)
+            waiting.clear()
             names, place = np.unique(pairs, return_inverse=True)
             n, own = np.bincount(place, minlength=len(names)), np.bincount(place[target], minlength=len(names))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.int64())], ["pair", "n", "n_target"])
@@ -105,8 +105,8 @@ def pair_counts(rows: DataFrame, shared) -> DataFrame:
             flat, sizes = shared.value.numbered(raw)
             pairs, _ = inner_pairs(flat, sizes)
             target = np.repeat(np.asarray(part.column(1).to_pylist(), bool), sizes)
-            held.append((pairs[pairs >= 0], target[pairs >= 0]))
-            if sum(len(x) for x, _ in held) > HELD_BIGRAMS:
+            waiting.append((pairs[pairs >= 0], target[pairs >= 0]))
+            if sum(len(x) for x, _ in waiting) > HELD_BIGRAMS:
                 yield flush()
         yield flush()
 

@@ -169,8 +169,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with each span of its ``text`` replaced by its kind in angle brackets; all columns stay."""
     columns = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("pii_key", F.xxhash64(F.col("doc_id").cast("long"), text))
+    # the row's own columns go into one, so that no name can clash
+    keyed = docs.select(F.struct(*(docs[f"`{x}`"] for x in columns)).alias("row"), docs["doc_id"].cast("long").alias("doc"), docs["text"].cast("string").alias("text"))
+    keyed = keyed.withColumn("pii_key", F.xxhash64("doc", F.coalesce("text", F.lit(""))))
     spans = found.select(F.col("doc_id").alias("pii_id"), F.col("row_key").alias("pii_row"), F.concat("base", "added").alias("pii_spans")).where(F.size("pii_spans") > 0).dropDuplicates(["pii_id", "pii_row"])
     spans = spans.withColumn("pii_spans", F.expr("array_sort(transform(pii_spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"))
     # spans of different kinds may overlap: one that begins within an earlier one gives way to it
@@ -178,10 +179,10 @@ def masked(docs: DataFrame, found: DataFrame) -> DataFrame:
     spans = spans.withColumn("pii_spans", F.expr(clear))
     if spans.count() <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
-    rows = keyed.join(spans, (F.col("pii_key") == F.col("pii_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("pii_id")), "left")
+    rows = keyed.join(spans, (F.col("pii_key") == F.col("pii_row")) & F.col("doc").eqNullSafe(F.col("pii_id")), "left")
     pieces = "concat(array_join(transform(pii_spans, (x, i) -> concat(substring(text, CASE WHEN i = 0 THEN 1 ELSE pii_spans[i - 1].end + 1 END, x.start - CASE WHEN i = 0 THEN 0 ELSE pii_spans[i - 1].end END), '<', x.kind, '>')), ''), substring(text, element_at(pii_spans, -1).end + 1))"
     made = F.expr(f"CASE WHEN size(pii_spans) > 0 THEN {pieces} ELSE text END")
-    return rows.select(*(made.alias(x) if x == "text" else F.col(f"`{x}`") for x in columns))
+    return rows.select(*(made.alias(x) if x == "text" else F.col("row").getField(x).alias(x) for x in columns))
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
