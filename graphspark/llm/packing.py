@@ -29,8 +29,9 @@ GROUP_DOCS = 8192
 #: Words that a worker's table of ids holds at most, and the longest one kept.
 TABLE_ENTRIES = 600_000
 KEPT_BYTES = 48
-#: Other than letters whose class and lower case no Unicode version changed.
-FAR = re.compile("[^a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]")
+#: Letters whose class and lower case no Unicode version changed; any other character, and a word with one.
+NEAR = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+FAR, FAR_WORD = re.compile(f"[^{NEAR}]"), re.compile(f"[^ ]*[^{NEAR} ][^ ]*")
 #: Combinations that one system holds at most, and its passes.
 COMBINATIONS = 2000
 PASSES = 25
@@ -81,14 +82,16 @@ class WordIds:
             known = self.known = {x: known[x] for x in distinct if x in known and len(x) <= KEPT_BYTES}
         fresh = distinct.difference(known)
         stems = {x: x[:-1] if x[-1:] in self.marks and len(x) > 1 else x for x in fresh}
-        plain, other = [], []
-        for x in {*stems.values()}.difference(known):
-            word = x.decode()
-            (plain if word.isalpha() and not FAR.search(word) else other).append(word)
-        for take, words in ((self.plain, plain), (self.encoded, other)):
-            for at in range(0, len(words), 1000):
-                part = words[at : at + 1000]
-                known.update(zip([x.encode() for x in part], take(part)))
+        new = [*{*stems.values()}.difference(known)]
+        words = b" ".join(new).decode().split(" ") if new else []
+        odd = {*FAR_WORD.findall(" ".join(words))}
+        groups = [list(zip(new, words)), []]
+        if odd:
+            groups = [[x for x in groups[0] if x[1] not in odd], [x for x in groups[0] if x[1] in odd]]
+        for take, pairs in zip((self.plain, self.encoded), groups):
+            for at in range(0, len(pairs), 1000):
+                part = pairs[at : at + 1000]
+                known.update(zip([x for x, _ in part], take([y for _, y in part])))
         for word, stem in stems.items():
             if word is not stem:
                 known[word] = known[stem] + self.marks[word[-1:]] if not FAR.search(stem.decode()) else self.encoded([word.decode()])[0]
