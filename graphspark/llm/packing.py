@@ -26,11 +26,15 @@ from .common import blocks, held, id_text, table
 WINDOW = 4096
 #: Documents of a group, on average.
 GROUP_DOCS = 8192
+#: Bytes of text whose words are looked up at once: more of them share a lookup.
+BLOCK_BYTES = 6 << 20
 #: Words that a worker's table of ids holds at most, and the longest one kept.
 TABLE_ENTRIES = 600_000
 KEPT_BYTES = 48
 #: Letters whose class and lower case no Unicode version changed; any other character, and a word with one.
 NEAR = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+#: ASCII marks but for the apostrophe, which may begin a contraction.
+MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum() and x != 39)
 FAR, FAR_WORD = re.compile(f"[^{NEAR}]"), re.compile(f"[^ ]*[^{NEAR} ][^ ]*")
 #: Combinations that one system holds at most, and its passes.
 COMBINATIONS = 2000
@@ -58,7 +62,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.marks = {x: self.encoded([x.decode()])[0] for x in (b".", b",")}
+        self.runs: dict[bytes, bytes] = {}
 
     def encoded(self, words: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -81,20 +85,27 @@ class WordIds:
         if len(known) > TABLE_ENTRIES:
             known = self.known = {x: known[x] for x in distinct if x in known and len(x) <= KEPT_BYTES}
         fresh = distinct.difference(known)
-        stems = {x: x[:-1] if x[-1:] in self.marks and len(x) > 1 else x for x in fresh}
+        # a run of marks behind letters is a token group of its own
+        stems = {x: x.rstrip(MARKS) or x for x in fresh}
         new = [*{*stems.values()}.difference(known)]
-        words = b" ".join(new).decode().split(" ") if new else []
-        odd = {*FAR_WORD.findall(" ".join(words))}
-        groups = [list(zip(new, words)), []]
-        if odd:
-            groups = [[x for x in groups[0] if x[1] not in odd], [x for x in groups[0] if x[1] in odd]]
-        for take, pairs in zip((self.plain, self.encoded), groups):
-            for at in range(0, len(pairs), 1000):
-                part = pairs[at : at + 1000]
-                known.update(zip([x for x, _ in part], take([y for _, y in part])))
+        odd = {x.encode() for x in FAR_WORD.findall(b" ".join(new).decode())}
+        plain = [x for x in new if x not in odd] if odd else new
+        for take, words in ((self.plain, plain), (self.encoded, [*odd])):
+            for at in range(0, len(words), 1000):
+                part = words[at : at + 1000]
+                known.update(zip(part, take(b" ".join(part).decode().split(" "))))
+        runs = self.runs
         for word, stem in stems.items():
-            if word is not stem:
-                known[word] = known[stem] + self.marks[word[-1:]] if not FAR.search(stem.decode()) else self.encoded([word.decode()])[0]
+            if len(word) != len(stem):
+                if FAR.search(stem.decode()):
+                    known[word] = self.encoded([word.decode()])[0]
+                    continue
+                run = word[len(stem) :]
+                if run not in runs:
+                    runs[run] = self.encoded([run.decode()])[0]
+                known[word] = known[stem] + runs[run]
+        if len(runs) > 10_000:
+            runs.clear()
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [(x if b"<|" in x else x.lower()).split() for x in texts]
@@ -209,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tail = held(f"packing {tokenizer}", lambda: WordIds(tokenizer)), np.asarray([end_id], "<u4").tobytes()
-        for part, raw in blocks(batches):
+        for part, raw in blocks(batches, limit=BLOCK_BYTES):
             rows = [[], [], [], [], []]
             for doc, ids in zip(part.column(0).to_pylist(), words.ids(raw)):
                 ids += tail
