@@ -5,9 +5,10 @@ patterns find and a check confirms. The words before a seed are a lexical
 pattern; a pattern's slot is also filled by other tokens that look like
 identifiers, and by plain words. Over the graph of patterns and fillers,
 scores go back and forth for ``ROUNDS`` rounds, among patterns whose slots
-identifiers can fill well enough at all: a pattern is as good as the share of its slot that confident instances fill, an instance as good as its
-patterns together. Identifiers in the slots of good patterns become spans of
-the kind ``id``; words that only sometimes precede an identifier never do.
+identifiers can fill well enough at all: a pattern is as good as the share of
+its slot that confident instances fill, an instance as good as its patterns
+together. Identifiers in the slots of good patterns become spans of the kind
+``id``; words that only sometimes precede an identifier never do.
 """
 
 from __future__ import annotations
