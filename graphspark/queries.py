@@ -91,12 +91,12 @@ def layered(tables: list[DataFrame], columns: list[str]) -> DataFrame:
     """All layers' tables, with the number of the layer."""
     out = None
     for k, x in enumerate(tables):
-        x = x.select(*columns).withColumn("block", F.lit(k).cast("long"))
+        x = x.selectExpr(*columns).withColumn("block", F.lit(k).cast("long"))
         out = x if out is None else out.unionByName(x)
     return out
 
 
-ROW = ["batch", "src", "dst", "idx", F.col("r").cast("long").alias("r")]
+ROW = ["batch", "src", "dst", "idx", "CAST(r AS LONG) AS r"]
 
 # ingest and selection
 
@@ -265,19 +265,19 @@ def fennel_two_level(spark, sf_dir):
 @query
 def sample_full(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return sampling.sample_layer(s.batches(), s.edges, -1, SEED, 0).select(*ROW)
+    return sampling.sample_layer(s.batches(), s.edges, -1, SEED, 0).selectExpr(*ROW)
 
 
 @query
 def sample_k(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return sampling.sample_layer(s.batches(), s.edges, 10, SEED, 0).select(*ROW)
+    return sampling.sample_layer(s.batches(), s.edges, 10, SEED, 0).selectExpr(*ROW)
 
 
 @query
 def sample_replace(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return sampling.sample_layer(s.batches(), s.edges, 5, SEED, 0, replace=True).select(*ROW)
+    return sampling.sample_layer(s.batches(), s.edges, 5, SEED, 0, replace=True).selectExpr(*ROW)
 
 
 @query
