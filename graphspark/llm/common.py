@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,13 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only in local mode."""
+    """This application's folder among those that driver and executors share;
+    an own one, removed at the end, only in local mode."""
+    app = spark.sparkContext.applicationId
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if told:
-        return told.rstrip("/")
+        return f"{told.rstrip('/')}/staged-{app}"
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file:///tmp/graphspark-shared/{spark.sparkContext.applicationId}"
+    folder = f"/tmp/graphspark-staged/{app}"
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Removes the tables that this application has staged; results that still
+    read them must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
