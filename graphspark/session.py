@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +29,29 @@ def get_spark(app: str = "graphspark", cpus: int | None = None, **conf: str) ->
     return spark
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that driver and executors share, and read
-    again: what follows neither grows the plan nor computes it twice, and
-    survives a lost executor. In local mode without ``spark.checkpoint.dir``
-    the folder is an own one."""
-    spark = df.sparkSession
+def settled_dir(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, which driver and
+    executors share; an own one, removed at the end, only in local mode."""
+    app = spark.sparkContext.applicationId
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file:///tmp/graphspark-shared/{spark.sparkContext.applicationId}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if folder:
+        return f"{folder.rstrip('/')}/settled-{app}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    atexit.register(shutil.rmtree, f"/tmp/graphspark-settled/{app}", ignore_errors=True)
+    return f"file:///tmp/graphspark-settled/{app}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what follows neither
+    grows the plan nor computes it twice, and survives a lost executor."""
+    path = f"{settled_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(spark: SparkSession) -> None:
+    """Removes the application's settled tables; results that still read them
+    must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(settled_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
