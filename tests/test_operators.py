@@ -80,7 +80,7 @@ def test_splits(spark):
 # partitions
 
 
-def reference_fennel(n, e, train, parts, imbalance=1.1, gamma=2.0, rounds=1, patience=3, total_train=None):
+def plain_fennel(n, e, train, parts, imbalance=1.1, gamma=2.0, rounds=1, patience=3, total_train=None):
     """The rule, written plainly."""
     near = [[b for a, b in e if a == k] for k in range(n)]
     alpha = parts ** (gamma - 1) * len(e) / n**gamma
@@ -133,7 +133,7 @@ def test_fennel_follows_the_rule(spark, rounds, seed):
     n, e = 48, random_graph(48, 150, seed)
     train_ids = {k for k in range(n) if k % 3 == 0}
     found = partition.fennel(nodes(spark, n), edges(spark, e), ids(spark, train_ids), 4, imbalance=1.4, rounds=rounds)
-    assert [p for _, p in rows(found)] == reference_fennel(n, e, train_ids, 4, 1.4, rounds=rounds)
+    assert [p for _, p in rows(found)] == plain_fennel(n, e, train_ids, 4, 1.4, rounds=rounds)
 
 
 def test_two_cliques_and_a_bridge(spark):
@@ -141,7 +141,7 @@ def test_two_cliques_and_a_bridge(spark):
     e = both(clique(0) + clique(4) + [(3, 4)])
     found = partition.fennel(nodes(spark, 8), edges(spark, e), ids(spark, []), 2)
     place = [p for _, p in rows(found)]
-    assert place == reference_fennel(8, e, set(), 2)
+    assert place == plain_fennel(8, e, set(), 2)
     score = dict(rows(cuts.cross_edge_score(nodes(spark, 8), edges(spark, e), found)))
     assert score == {k: sum(place[b] != place[k] for a, b in e if a == k) for k in range(8)}
     cut = cuts.edge_cut(edges(spark, e), found).first()
@@ -161,14 +161,14 @@ def test_two_levels(spark):
     n, e = 60, random_graph(60, 200, 5)
     train_ids = {k for k in range(n) if k % 2}
     found = rows(partition.fennel_two_level(nodes(spark, n), edges(spark, e), ids(spark, train_ids), 6, 2, imbalance=1.5))
-    first = reference_fennel(n, e, train_ids, 2, 1.5)
+    first = plain_fennel(n, e, train_ids, 2, 1.5)
     assert [(k, p) for k, p, _ in found] == list(enumerate(first))
     for p in (0, 1):
         members = [k for k in range(n) if first[k] == p]
         local = {k: j for j, k in enumerate(members)}
         # neighbours elsewhere count as entries, not as members
         own = [(local[a], local.get(b, -1)) for a, b in e if a in local]
-        want = reference_fennel(len(members), own, {local[k] for k in train_ids if k in local}, 3, 1.5, total_train=len(train_ids)) if all(b >= 0 for _, b in own) else None
+        want = plain_fennel(len(members), own, {local[k] for k in train_ids if k in local}, 3, 1.5, total_train=len(train_ids)) if all(b >= 0 for _, b in own) else None
         if want is not None:
             assert [x - 3 * p for _, q, x in found if q == p] == want
         sizes = np.bincount([x - 3 * p for _, q, x in found if q == p], minlength=3)
@@ -178,7 +178,7 @@ def test_two_levels(spark):
 def test_bloom_membership_places_all(spark):
     n, e = 60, random_graph(60, 200, 6)
     found = rows(partition.fennel(nodes(spark, n), edges(spark, e), ids(spark, []), 4, membership="bloom", bloom_rate=1e-6))
-    assert [p for _, p in found] == reference_fennel(n, e, set(), 4)
+    assert [p for _, p in found] == plain_fennel(n, e, set(), 4)
     assert [k for k, _ in found] == list(range(n))
 
 
