@@ -2,11 +2,14 @@
 
 A target model (documents labelled good and not toxic) and a background model
 (all documents) have one vocabulary, one order and one smoothing. Counts are
-taken over all documents and summed by shuffled aggregation. Words and bigrams
-with at least the share ``1 / ENTRIES`` of all occurrences belong to the model,
-so there are ``ENTRIES`` of either at most whatever the corpus, and the model
-can be broadcast; other words are one unknown word, other bigrams back off to
-their word.
+taken over all documents and summed by shuffled aggregation. All words and
+bigrams of the corpus belong to the model. Those with at least the share
+``1 / ENTRIES`` of all occurrences are frequent: there are ``ENTRIES`` of either
+at most whatever the corpus, so they are broadcast; the others are counted and
+looked up in shards (``lm_shards``).
+
+With ``entries`` the model is cut to the words and bigrams of that share
+instead: other words are one unknown word, other bigrams back off to their word.
 
     p(w | v) = INNER * n(v, w) / n(v) + (1 - INNER) * p(w)
     p(w) = (n(w) + 1) / (n + words of the vocabulary + 1)
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, held, id_text, staged, table
+from .lm_shards import LEAST_SHARDS, SHARD_WORDS, counted, counts_sent, finished, rare, rows_sent
 
-#: Words and bigrams of the model at most; the least share of a kept one is the reciprocal.
+#: Frequent words and bigrams at most; the least share of one is the reciprocal.
 ENTRIES = 1 << 20
-#: Longer words are unknown, which bounds the broadcast.
+#: Longer words are unknown to a model that is cut.
 WORD_BYTES = 48
 INNER = 0.7
 #: Words whose counts a task holds before it hands them on.
@@ -62,17 +67,24 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return made.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
+class Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        return rare(word)
+
+
 class Words:
     """The vocabulary: word to number; 0 is the unknown word."""
 
     def __init__(self, words: list[bytes]):
-        self.numbers = {x: k + 1 for k, x in enumerate(words)}
+        self.numbers = Numbers((x, k + 1) for k, x in enumerate(words))
 
-    def numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' numbers in a row, and the words of each text."""
+    def numbered(self, texts: list[bytes], rest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers in a row, and the words of each text; with ``rest``,
+        words that have none get that of their hash."""
         get, split = self.numbers.get, [x.lower().split() for x in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        return np.fromiter((get(x, 0) for words in split for x in words), np.int64, int(sizes.sum())), sizes
+        found = map(self.numbers.__getitem__, chain.from_iterable(split)) if rest else (get(x, 0) for words in split for x in words)
+        return np.fromiter(found, np.int64, int(sizes.sum())), sizes
 
 
 def inner_pairs(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,12 +127,12 @@ def pair_counts(rows: DataFrame, shared) -> DataFrame:
 
 
 class Losses:
-    """Loss of each word under one of the two models."""
+    """Loss of each word under one of the two models, of ``words`` words."""
 
-    def __init__(self, total: int, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
+    def __init__(self, total: int, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, words: int):
         counts = counts.astype(np.float64)
         counts[0] = total - counts[1:].sum()
-        self.single = (counts + 1) / (total + len(counts))
+        self.single = (counts + 1) / (total + words + 1)
         before = counts[pairs >> 32]
         self.inner = np.where(before > 0, INNER * pair_counts / np.where(before > 0, before, 1), 0)
 
@@ -132,7 +144,7 @@ class Losses:
         return -np.log(p)
 
 
-def lm_scores(docs: DataFrame, targets: DataFrame, entries: int = ENTRIES) -> DataFrame:
+def lm_scores(docs: DataFrame, targets: DataFrame, entries: int | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, target_loss, background_loss,
     score`` (mean loss per word under either model; their difference, lower for
     texts that are more like the target).
@@ -141,7 +153,8 @@ def lm_scores(docs: DataFrame, targets: DataFrame, entries: int = ENTRIES) -> Da
     are runs of other characters than ASCII white space, A-Z in lower case.
     Null and empty texts have no words, null losses and a null score. Without
     target rows the target model is the flat one. Repeated rows count each; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. ``entries`` cuts the
+    model.
     """
     spark = docs.sparkSession
     ids = targets.select(targets["doc_id"].cast("long").alias("target_id")).where("target_id IS NOT NULL").distinct()
@@ -150,15 +163,31 @@ def lm_scores(docs: DataFrame, targets: DataFrame, entries: int = ENTRIES) -> Da
     rows = id_text(docs).join(ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
 
     words = staged(word_counts(rows), "words")
-    total, total_target = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    kept = words.where((F.col("n") * entries >= total) & (F.length("word") <= WORD_BYTES)).collect()
+    total, total_target, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.lit(1))).first()
+    frequent = F.col("n") * (entries or ENTRIES) >= total
+    # frequent words are of the mean length of all, on the whole, which bounds the broadcast
+    kept = words.where(frequent if entries is None else frequent & (F.length("word") <= WORD_BYTES)).collect()
     kept.sort(key=lambda x: bytes(x.word))
     vocabulary = Words([bytes(x.word) for x in kept])
     shared_words = spark.sparkContext.broadcast(vocabulary)
 
-    found = pair_counts(rows, shared_words).where(F.col("n") * entries >= total).toPandas().sort_values("pair")
+    found = pair_counts(rows, shared_words).where(frequent).toPandas().sort_values("pair")
     pairs = found["pair"].to_numpy(np.int64)
-    models = [Losses(n, np.asarray([0, *(x[column] for x in kept)]), pairs, found[column].to_numpy(np.float64)) for n, column in ((total_target, "n_target"), (total, "n"))]
+    size = n_words if entries is None else len(kept)
+    counts = {column: np.asarray([0, *(x[column] for x in kept)]) for column in ("n", "n_target")}
+    models = [Losses(n, counts[column], pairs, found[column].to_numpy(np.float64), size) for n, column in ((total_target, "n_target"), (total, "n"))]
+    if entries is None:
+        shards = max(LEAST_SHARDS, total // SHARD_WORDS)
+        shared = spark.sparkContext.broadcast((pairs, models, ([*counts.values()], (total + size + 1, total_target + size + 1), INNER)))
+        rest = counts_sent(words.where(~frequent), shards)
+        parcels = counted(rest.union(rows_sent(rows, shared_words, shared, shards)), shared, shards)
+        sums = finished(rest.union(parcels), shared, shards).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.min("doc_id").alias("low"), *(F.sum(x).alias(x) for x in ("rows", "n_words", "target_sum", "background_sum")))
+        # equal rows have one key
+        sums = sums.withColumn("doc_id", F.when(F.col("low") < F.col("doc_id"), F.raise_error(F.lit("two rows have one hash"))).otherwise(F.col("doc_id")))
+        mean = lambda x: F.when(F.col("n_words") > 0, F.col(x) / F.col("n_words"))
+        out = sums.select("doc_id", F.expr("n_words div rows").alias("n_words"), mean("target_sum").alias("target_loss"), mean("background_sum").alias("background_loss"), F.explode(F.expr("array_repeat(0, CAST(rows AS INT))")))
+        # shuffles lose the order of rows
+        return out.orderBy("doc_id").select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
     shared = spark.sparkContext.broadcast((pairs, models))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

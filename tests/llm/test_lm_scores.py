@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 
+from graphspark.llm import lm_scores as scores
 from graphspark.llm.lm_scores import INNER, lm_scores
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,3 +69,32 @@ def test_no_targets_and_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_scores(make_docs([]), none).collect() == []
     assert [x.n_words for x in lm_scores(make_docs(["a b", None]), none).collect()] == [2, 0]
+
+
+def test_rare_words_and_bigrams_belong_to_the_model(spark, make_docs, odd, prose, monkeypatch):
+    """Few words are frequent here; losses are those of the model that is not cut."""
+    monkeypatch.setattr(scores, "ENTRIES", 60)
+    texts = odd + [" ".join(prose(80, k % 30, 60) + prose(20, 7, 9000)[k % 20 :]) for k in range(40)] + ["Word " * 500, "x" * 100 + " y", "once"]
+    good = {k for k in range(len(odd), len(odd) + 20)}
+    rows = list(enumerate(texts))
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    one, two = Counter(x for w in words for x in w), Counter(p for w in words for p in zip(w, w[1:]))
+    own, own_two = Counter(x for k in good for x in words[k]), Counter(p for k in good for p in zip(words[k], words[k][1:]))
+
+    def loss(w, n, pairs):
+        p = [(n[x] + 1) / (n.total() + len(one) + 1) for x in w]
+        p[1:] = [(1 - INNER) * q + (INNER * pairs[a, b] / n[a] if n[a] else 0) for q, a, b in zip(p[1:], w, w[1:])]
+        return sum(-math.log(q) for q in p) / len(w)
+
+    targets = spark.createDataFrame([(k,) for k in good], "doc_id long")
+    found = lm_scores(make_docs([*rows, rows[20]], clash=True), targets).collect()
+    one, two = one + Counter(words[20]), two + Counter(zip(words[20], words[20][1:]))
+    own, own_two = own + Counter(words[20]), own_two + Counter(zip(words[20], words[20][1:]))
+    assert sorted(x.doc_id for x in found) == sorted([*range(len(texts)), 20])
+    for x in found:
+        w = words[x.doc_id]
+        assert x.n_words == len(w)
+        if w:
+            assert x.target_loss == pytest.approx(loss(w, own, own_two), abs=1e-9) and x.background_loss == pytest.approx(loss(w, one, two), abs=1e-9)
+        else:
+            assert x.target_loss is None and x.score is None
