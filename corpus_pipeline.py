@@ -24,6 +24,8 @@ from graphspark.llm.pii import find_personal_data, masked
 
 #: Ids that may be broadcast; beyond that, the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Texts are near duplicates from this similarity of their five-word shingles on.
+NEAR_PERCENT = 80
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the
     least id, once. Rows without an id stay."""
-    found = staged(near_duplicates(docs), "near")
+    found = staged(near_duplicates(docs, NEAR_PERCENT), "near")
     rest = without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")))
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     if twice.isEmpty():

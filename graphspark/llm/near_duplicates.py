@@ -15,7 +15,8 @@ bounded size, each pair in the first band that it shares. Two classes that a
 chain of confirmed links already joins need no comparison.
 
 With 25 bands of 5, a pair at the threshold of 0.85 shares no band with a
-probability of 4e-7; the estimate drops such a pair with one of 1e-8.
+probability of 4e-7, with 38 one at 0.80 with 3e-7; the estimate drops such a
+pair with one of 1e-8.
 """
 
 from __future__ import annotations
@@ -34,11 +35,12 @@ from .components import components
 SHINGLE_WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BANDS, ROWS = 25, 5
-#: Minima of a signature (a multiple of 16, BANDS * ROWS at least), bits kept of each.
+#: By the percent of links: bands, and the estimate below which candidates are
+#: dropped, over five standard errors below the threshold.
+SETTINGS = {85: (25, 0.70), 80: (38, 0.63)}
+ROWS = 5
+#: Minima of a signature (a multiple of 16, those of all bands at least), bits kept of each.
 MINIMA, BITS = 192, 4
-#: Candidates with a lower estimate are dropped: over five standard errors below 0.85.
-LEAST_ESTIMATE = 0.70
 #: Logarithm of the bits of a set's map.
 MAP_BITS = 12
 #: Classes that a block holds on either side.
@@ -88,7 +90,7 @@ def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (share - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, n_bands: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, signature, bands`` per row; the last three
     null where a text has no words."""
 
@@ -103,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 counts = np.asarray([len(distinct[k]) for k in full])
                 mins = minima(np.concatenate([distinct[k] for k in full]), np.cumsum(counts) - counts)
                 words = packed(mins)
-                hashes = np.stack([gram_hashes(np.ascontiguousarray(mins[ROWS * b : ROWS * (b + 1)].T).ravel(), ROWS)[::ROWS] ^ mixed(np.full(len(full), b + 1, np.uint64)) for b in range(BANDS)], axis=1).view(np.int64)
+                hashes = np.stack([gram_hashes(np.ascontiguousarray(mins[ROWS * b : ROWS * (b + 1)].T).ravel(), ROWS)[::ROWS] ^ mixed(np.full(len(full), b + 1, np.uint64)) for b in range(n_bands)], axis=1).view(np.int64)
                 for place, k in enumerate(full):
                     keys[k] = hashlib.blake2b(distinct[k].tobytes(), digest_size=16).digest()
                     rows[k], bands[k] = words[place].tobytes(), hashes[place]
@@ -141,7 +143,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "rep long, grams binary, bits binary").dropDuplicates(["rep", "grams"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets confirm the link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +163,14 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The distinct pairs ``a, b`` whose signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("near")
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(estimates(x, y) >= LEAST_ESTIMATE))
+            yield batch.select([0, 1]).filter(pa.array(estimates(x, y) >= least))
 
     one = classes.select(F.col("rep").alias("a"), F.col("signature").alias("x"))
     two = classes.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
@@ -188,7 +190,7 @@ def led(rows: DataFrame, order) -> DataFrame:
     return rows.join(leaders, "band").where("rep <> leader AND component <> own").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
 
 
-def compared(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of all members of a bucket that lie in different components.
 
     Members outside the bucket's largest component are compared with all
@@ -196,6 +198,7 @@ def compared(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     other. Pairs that pass the estimate must also pass a bound of the
     intersection by the sets' maps, so that hardly any but links are left.
     """
+    n_bands, least = SETTINGS[percent]
     sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total")).select("band", F.col("m.component").alias("main"), F.col("m.n").alias("n_main"), F.col("total"))
     chunks = lambda n: F.ceil(n / F.lit(BLOCK_CLASSES)).cast("int")
@@ -214,19 +217,19 @@ def compared(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
         n = part.num_rows
         rep, component, chunk, size = (part.column(x).to_numpy() for x in ("rep", "component", "chunk", "n_shingles"))
         words, maps = (np.frombuffer(b"".join(part.column(x).to_pylist()), np.uint64).reshape(n, -1) for x in ("signature", "bits"))
-        bands = np.asarray(part.column("bands").to_pylist(), np.int64).reshape(n, BANDS)
+        bands = np.asarray(part.column("bands").to_pylist(), np.int64).reshape(n, n_bands)
         here = (bands == band).argmax(axis=1)
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         a, b = [], []
         for x in left.tolist():
-            y = right[(component[right] != component[x]) & (100 * np.minimum(size[right], size[x]) >= PERCENT * np.maximum(size[right], size[x]))]
+            y = right[(component[right] != component[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))]
             if i == j:
                 y = y[rep[y] > rep[x]]
-            y = y[estimates(words[y], words[x]) >= LEAST_ESTIMATE]
+            y = y[estimates(words[y], words[x]) >= least]
             # only in the first band that both share
             y = y[(bands[y] == bands[x]).argmax(axis=1) == here[x]]
             both = most_shared(maps[y], maps[x], size[y], size[x])
-            y = y[100 * both >= PERCENT * (size[y] + size[x] - both)]
+            y = y[100 * both >= percent * (size[y] + size[x] - both)]
             a.append(np.minimum(rep[y], rep[x]))
             b.append(np.maximum(rep[y], rep[x]))
         whole = lambda z: pa.array(np.concatenate([np.empty(0, np.int64), *z]), pa.int64())
@@ -235,7 +238,7 @@ def compared(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     return members.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Lower-cases A-Z; words are runs of other characters than ASCII white
@@ -243,9 +246,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nothing and kept. Fewer words than a shingle are one shingle. Equal rows
     are in one class; rows with one id and different texts are one node. Rows
     with a null id take part in no link. Empty table: no rows. Other columns
-    are ignored.
+    are ignored. ``percent``: the least similarity of a link, one of ``SETTINGS``.
     """
-    rows = staged(signatures(docs), "signatures")
+    n_bands, least = SETTINGS[percent]
+    rows = staged(signatures(docs, n_bands), "signatures")
     classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
     bands = classes.select(F.explode("bands").alias("band"), "rep")
@@ -261,12 +265,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if rest.isEmpty():
             break
         if step == "first":
-            pairs = estimated(led(rest, F.col("rep")), candidates)
+            pairs = estimated(led(rest, F.col("rep")), candidates, least)
         elif step == "random":
-            pairs = estimated(led(rest, F.xxhash64("band", "rep")), candidates)
+            pairs = estimated(led(rest, F.xxhash64("band", "rep")), candidates, least)
         else:
-            pairs = compared(rest, candidates, sets)
-        more = staged(linked(staged(pairs, "pairs"), sets), "confirmed")
+            pairs = compared(rest, candidates, sets, percent)
+        more = staged(linked(staged(pairs, "pairs"), sets, percent), "confirmed")
         links = more if links is None else links.union(more)
         found = staged(components(links), "components")
     # classes of equal sets, then components of classes

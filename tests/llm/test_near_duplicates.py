@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 
+import corpus_pipeline
 from graphspark.llm import near_duplicates as nd
 from graphspark.llm.components import components
 
@@ -94,3 +95,23 @@ def test_components_of_chains_stars_and_rings(spark):
     assert all(got[k] == 100 for k in range(100, 161)) and all(got[k] == 7 for k in range(200, 260)) and got[7] == 7
     assert all(got[300 + k] == 300 for k in range(9)) and got[2] == got[1] == 1
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_pipeline_stage_links_from_four_fifths_on(spark, make_docs, prose):
+    """Pairs around 0.80; those of 0.80 to 0.85 are near duplicates of the stage, not of op6."""
+    texts, linked, between = [], set(), set()
+    for k in range(120):
+        words = prose(200, 900 + k, 20000)
+        # a changed word takes five shingles from either text
+        other = [f"changed{k}" if n % 40 == 20 and n // 40 < 3 + k % 3 else x for n, x in enumerate(words)]
+        texts += [" ".join(words), " ".join(other)]
+        x, y = map(shingles, texts[-2:])
+        if 100 * len(x & y) >= 80 * len(x | y):
+            linked.add(2 * k + 1)
+        if 80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y):
+            between.add(2 * k + 1)
+    assert 30 < len(between) and len(linked) < 120
+    docs = make_docs(texts)
+    assert {x.doc_id for x in nd.near_duplicates(docs, 80).collect() if not x.kept} == linked
+    assert {x.doc_id for x in nd.near_duplicates(docs).collect() if not x.kept} == linked - between
+    assert {x.doc_id for x in corpus_pipeline.near_duplicate(spark, docs, "").collect()} == set(range(240)) - linked
