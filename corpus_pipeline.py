@@ -41,9 +41,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rejecting(docs, fit(docs))
 
 
+def apart(docs: DataFrame) -> DataFrame | None:
+    """``row, number, text``: a number, ordered as the ids, for each distinct
+    ``(doc_id, text)``; null without an id. None if no id has several texts."""
+    rows = docs.select(F.struct(*(docs[f"`{x}`"] for x in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc"), docs["text"].cast("string").alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    ids = rows.where("doc IS NOT NULL").groupBy("doc").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
+    if ids.where("low <> high").isEmpty():
+        return None
+    keys = rows.where("doc IS NOT NULL").select("doc", "text_key").distinct().orderBy("doc", "text_key")
+    keys = staged(keys.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return staged(rows.join(keys, ["doc", "text_key"], "left").select("row", "number", "text"), "numbered")
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the
-    least id, once. Rows without an id stay."""
+    least id, once. Rows without an id stay. Rows with one id and different
+    texts are judged each."""
+    rows = apart(docs)
+    if rows is not None:
+        rest = near_duplicate(spark, rows.withColumnRenamed("number", "doc_id"), sf_dir)
+        return rest.select("row.*")
     found = staged(near_duplicates(docs, NEAR_PERCENT), "near")
     rest = without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")))
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -54,7 +72,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Rows with one id and
+    different texts are judged each."""
+    rows = apart(docs)
+    if rows is not None:
+        return decontamination(spark, rows.withColumnRenamed("number", "doc_id"), sf_dir).select("row.*")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.where("contaminated").select(F.col("doc_id").alias("gone")))
 

@@ -109,3 +109,16 @@ def test_pipeline_on_odd_rows(spark, tmp_path, odd):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
 
 
+
+
+def test_pipeline_judges_texts_of_one_id_each(spark, tmp_path, make_docs, prose):
+    """Id 5 has a copy of id 3, a text of its own twice and a leaked passage; id 7 repeats 5's own."""
+    copied, own, leaked, other = (" ".join(prose(60, 600 + k, 4000)) for k in range(4))
+    spark.createDataFrame([(1, leaked)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = make_docs([(3, copied), (5, copied), (5, own), (5, own), (5, leaked), (7, own), (8, other), (None, other)], clash=True)
+    unique = corpus_pipeline.near_duplicate(spark, docs, str(tmp_path))
+    assert unique.columns == docs.columns
+    found = sorted(((x.doc_id, x.text) for x in unique.collect()), key=str)
+    assert found == sorted([(3, copied), (5, own), (5, leaked), (8, other), (None, other)], key=str)
+    clean = corpus_pipeline.decontamination(spark, unique, str(tmp_path)).collect()
+    assert sorted(((x.doc_id, x.text) for x in clean), key=str) == sorted([(3, copied), (5, own), (8, other), (None, other)], key=str)
