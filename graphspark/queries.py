@@ -247,6 +247,12 @@ def fennel(spark, sf_dir):
     return partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3)
 
 
+@query
+def fennel_refine(spark, sf_dir):
+    s = Setting(spark, sf_dir)
+    return partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3, rounds=2)
+
+
 @query
 def fennel_bloom(spark, sf_dir):
     s = Setting(spark, sf_dir)

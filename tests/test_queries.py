@@ -10,7 +10,8 @@ import pytest
 
 import __spark_entry__ as engine
 from graphspark.oracle import oracle_sql
-from graphspark.queries import QUERIES
+from graphspark.queries import PARTS, QUERIES, Setting
+from test_operators import plain_fennel
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -54,3 +55,12 @@ def test_entry_module_without_the_optional_parts(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(engine)
+
+
+def test_refinement_follows_the_rule_on_the_whole_graph(spark):
+    s = Setting(spark, DIR)
+    n, e = s.nodes.count(), [(x.src, x.dst) for x in s.edges.select("src", "dst").collect()]
+    train = {x.node for x in s.splits.where("split = 'train'").collect()}
+    found = {x.node: x.part for x in QUERIES["fennel_refine"](spark, DIR).collect()}
+    want = plain_fennel(n, e, train, PARTS // 2, 1.3, rounds=2)
+    assert found == dict(enumerate(want)) and want != plain_fennel(n, e, train, PARTS // 2, 1.3)
