@@ -1,9 +1,9 @@
 r"""Personal data: seed entities and bootstrapped contextual extraction.
 
 Only DataFrame expressions are used. Seeds are the entities that four fixed
-patterns find and a check confirms. The words before a seed are a lexical
-pattern; a pattern's slot is also filled by other tokens that look like
-identifiers, and by plain words. Over the graph of patterns and fillers,
+patterns find and a check confirms. The two words before the word in which a
+seed begins are a lexical pattern; a pattern's slot is also filled by other
+tokens that look like identifiers, and by plain words. Over the graph of patterns and fillers,
 scores go back and forth for ``ROUNDS`` rounds, among patterns whose slots
 identifiers can fill well enough at all: a pattern is as good as the share of
 its slot that confident instances fill, an instance as good as its patterns
@@ -32,6 +32,8 @@ PATTERNS = {
 NEEDED = {"email": "contains(text, '@')", "ip": r"text rlike '[0-9]\\.[0-9]'", "card": "text rlike '[0-9]([ -]?[0-9]){15}'", "phone": "contains(text, '+')", "token": "text rlike '[0-9]'"}
 #: A word with a digit.
 TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+WORD = rf"[^{SPACE}]++"
+SPANS = "ARRAY<STRUCT<start: INT, end: INT, m: STRING, context: BIGINT>>"
 BYTE = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 DIGITS = "regexp_replace(x.m, '[^0-9]+', '')"
 #: What the matches of a kind (``x.m``) have to pass.
@@ -43,76 +45,102 @@ CHECKS = {
     "token": "length(x.m) >= 5",
 }
 KINDS = ("email", "ip", "card", "phone")
-#: Characters in front of an entity in which its pattern, two words, is looked for.
-REACH = 64
+#: A noncharacter that stands in front of matches while words are told apart, and what stands for a text's own.
+MARK, OTHER = "\ufdd0", "\ufdd1"
 #: Distinct fillers that a pattern needs, rounds, and the scores that patterns and instances need.
 LEAST_FILLERS, ROUNDS, LEAST_SCORE = 3, 3, 0.6
-#: Matches whose lengths are summed at once.
+#: Elements of an array that are folded, or cut out of one piece of text, at once.
 CHUNK = 128
-#: Patterns that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Patterns (a hash each) that may be broadcast, and rows of spans of at most so many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+#: How two numbers from 0 on are folded.
+FOLDS = {"sum": "{0} + {1}", "max": "greatest({0}, {1})"}
 
 
 def _escaped(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
+def running(rows: DataFrame, columns: dict[str, str], fold: str) -> DataFrame:
+    """Adds for each pair of ``columns`` (array of numbers, new name) the folds
+    of each element and all before it; null for empty arrays.
+
+    The folds are taken by chunks, so that many elements cost little more than
+    in proportion. Expressions stand in separate selections, as lambdas would
+    else compute them again for each element.
+    """
+    base, both = rows.columns, FOLDS[fold].format
+    folded = lambda part: f"aggregate({part}, 0, (a, x) -> {both('a', 'x')})"
+    part = lambda c: f"slice({c}, k * {CHUNK} + 1, {CHUNK})"
+    upto = lambda c: f"slice({c}, i div {CHUNK} * {CHUNK} + 1, i % {CHUNK} + 1)"
+    rows = rows.select(*base, *(F.expr(f"CASE WHEN size({c}) > 0 THEN transform(sequence(0, (size({c}) - 1) div {CHUNK}), k -> {folded(part(c))}) END").alias(f"c_{out}") for c, out in columns.items()))
+    chunks = [f"c_{out}" for out in columns.values()]
+    rows = rows.select(*base, *(F.expr(f"transform({c}, (y, k) -> {folded(f'slice({c}, 1, k)')})").alias(c) for c in chunks))
+    return rows.select(*base, *(F.expr(f"CASE WHEN size({c}) > 0 THEN transform({c}, (y, i) -> {both(f'c_{out}[i div {CHUNK}]', folded(upto(c)))}) END").alias(out) for c, out in columns.items()))
+
+
 def _found(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Adds ``s_<kind>``: its matches (``start, end, m, before``), in order.
+    """Adds ``s_<kind>``: its matches (``start, end, m, context``), in order.
 
     A match's place is the sum of the lengths of all matches and gaps before
-    it; the sums are taken by chunks, so that many matches cost little more
-    than in proportion. Expressions stand in separate selections, as lambdas
-    would else compute them again for each element.
+    it. ``context`` is the hash of the two whole words, in lower case, before
+    the word in which the match begins, null if there are fewer.
     """
-    base = rows.columns
-    gaps = [F.expr(f"CASE WHEN {NEEDED[k]} THEN split(text, '{_escaped(p)}', -1) END").alias(f"g_{k}") for k, p in kinds.items()]
-    hits = [F.expr(f"CASE WHEN {NEEDED[k]} THEN regexp_extract_all(text, '{_escaped(p)}', 0) END").alias(f"m_{k}") for k, p in kinds.items()]
-    rows = rows.select(*base, *gaps, *hits)
-    base = rows.columns
-    rows = rows.select(*base, *(F.expr(f"CASE WHEN size(m_{k}) > 0 THEN transform(m_{k}, (m, i) -> length(g_{k}[i]) + length(m)) END").alias(f"l_{k}") for k in kinds))
-    base = rows.columns
-    rows = rows.select(*base, *(F.expr(f"transform(sequence(0, (size(l_{k}) - 1) div {CHUNK}), c -> aggregate(slice(l_{k}, c * {CHUNK} + 1, {CHUNK}), 0, (a, x) -> a + x))").alias(f"c_{k}") for k in kinds))
-    base = rows.columns
-    rows = rows.select(*base, *(F.expr(f"transform(c_{k}, (x, c) -> aggregate(slice(c_{k}, 1, c), 0, (a, y) -> a + y))").alias(f"b_{k}") for k in kinds))
-    base = rows.columns
-    ends = lambda k: f"transform(l_{k}, (x, i) -> b_{k}[i div {CHUNK}] + aggregate(slice(l_{k}, i div {CHUNK} * {CHUNK} + 1, i % {CHUNK} + 1), 0, (a, y) -> a + y))"
-    rows = rows.select(*base, *(F.expr(ends(k)).alias(f"e_{k}") for k in kinds))
-    spans = lambda k: f"transform(m_{k}, (m, i) -> named_struct('start', e_{k}[i] - length(m), 'end', e_{k}[i], 'm', m, 'before', right(concat(CASE WHEN i > 0 THEN m_{k}[i - 1] ELSE '' END, g_{k}[i]), {REACH})))"
-    kept = [x for x in rows.columns if x[:2] not in ("g_", "m_", "l_", "c_", "b_", "e_")]
-    return rows.select(*kept, *(F.expr(f"coalesce(filter({spans(k)}, x -> {CHECKS[k]}), array())").alias(f"s_{k}") for k in kinds))
-
-
-#: The last two words in front of an entity, in lower case; null if there are fewer.
-CONTEXT = rf"nullif(lower(regexp_replace(regexp_extract(before, '([^{SPACE}]+[{SPACE}]+[^{SPACE}]+)[{SPACE}]*$', 1), '[{SPACE}]+', ' ')), '')".replace("\\", "\\\\")
+    made = lambda columns: rows.select(*rows.columns, *(F.expr(x).alias(name) for name, x in columns.items()))
+    every = rows.columns
+    rows = made({f"g_{k}": f"CASE WHEN {NEEDED[k]} THEN split(text, '{_escaped(p)}', -1) END" for k, p in kinds.items()} | {f"m_{k}": f"CASE WHEN {NEEDED[k]} THEN regexp_extract_all(text, '{_escaped(p)}', 0) END" for k, p in kinds.items()})
+    rows = made({f"l_{k}": f"transform(m_{k}, (m, i) -> length(g_{k}[i]) + length(m))" for k in kinds})
+    rows = running(rows, {f"l_{k}": f"e_{k}" for k in kinds}, "sum")
+    spans = lambda k: f"transform(m_{k}, (m, i) -> named_struct('start', e_{k}[i] - length(m), 'end', e_{k}[i], 'm', m, 'i', i))"
+    rows = made({f"p_{k}": f"CASE WHEN size(m_{k}) > 0 THEN filter({spans(k)}, x -> {CHECKS[k]}) END" for k in kinds})
+    # the words of the text with a mark in front of each match; a word's marks are the matches that begin in it
+    clean = lambda x: f"replace({x}, '{MARK}', '{OTHER}')"
+    marked = lambda k: f"array_join(transform(g_{k}, (g, i) -> concat(CASE WHEN i > 0 THEN concat('{MARK}', {clean(f'm_{k}[i - 1]')}) ELSE '' END, {clean('g')})), '')"
+    rows = made({f"w_{k}": f"CASE WHEN size(p_{k}) > 0 THEN regexp_extract_all({marked(k)}, '{_escaped(WORD)}', 0) END" for k in kinds})
+    rows = made({f"j_{k}": f"filter(transform(w_{k}, (w, j) -> CASE WHEN contains(w, '{MARK}') THEN j END), j -> j IS NOT NULL)" for k in kinds})
+    word = lambda k, j: f"lower(replace(w_{k}[{j}], '{MARK}', ''))"
+    context = lambda k: f"CASE WHEN j >= 2 THEN xxhash64({word(k, 'j - 2')}, {word(k, 'j - 1')}) END"
+    rows = made({f"x_{k}": f"flatten(transform(j_{k}, j -> array_repeat({context(k)}, length(w_{k}[j]) - length(replace(w_{k}[j], '{MARK}', '')))))" for k in kinds})
+    told = lambda k: f"transform(p_{k}, x -> named_struct('start', x.start, 'end', x.end, 'm', x.m, 'context', x_{k}[x.i]))"
+    return rows.select(*every, *(F.expr(f"CASE WHEN size(p_{k}) > 0 THEN {told(k)} ELSE CAST(array() AS {SPANS}) END").alias(f"s_{k}") for k in kinds))
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, row_key``, ``base`` (spans ``kind, start, end, m,
-    before`` by kind, then start) and ``tokens``, other words with a digit."""
+    context`` by kind, then start) and ``tokens``, other words with a digit."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
     rows = _found(rows, PATTERNS | {"token": TOKEN})
-    base = ", ".join(f"transform(s_{k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, 'm', x.m, 'before', x.before))" for k in KINDS)
+    base = ", ".join(f"transform(s_{k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, 'm', x.m, 'context', x.context))" for k in KINDS)
     rows = rows.select("doc_id", "row_key", F.expr(f"concat({base})").alias("base"), "s_token")
-    free = "CASE WHEN size(base) = 0 THEN s_token ELSE filter(s_token, t -> NOT exists(base, b -> b.start < t.end AND t.start < b.end)) END"
+    # a token is free if no base span that begins before its end reaches beyond its start
+    rows = rows.select("*", F.expr("array_sort(transform(base, x -> named_struct('start', x.start, 'end', x.end)))").alias("sorted"))
+    rows = rows.select("*", F.expr("transform(sorted, x -> x.end)").alias("ends"))
+    rows = running(rows, {"ends": "reached"}, "max")
+    middle = "sorted[shiftright(a.low + a.high, 1)].start < t.end"
+    step = f"CASE WHEN a.low >= a.high THEN a WHEN {middle} THEN named_struct('low', shiftright(a.low + a.high, 1) + 1, 'high', a.high) ELSE named_struct('low', a.low, 'high', shiftright(a.low + a.high, 1)) END"
+    before = f"aggregate(sequence(1, int(ceil(log2(size(sorted) + 1)))), named_struct('low', 0, 'high', size(sorted)), (a, n) -> {step}, a -> a.low)"
+    free = f"CASE WHEN size(base) = 0 THEN s_token ELSE filter(s_token, t -> coalesce(get(reached, {before} - 1), 0) <= t.start) END"
     return rows.select("doc_id", "row_key", "base", F.expr(free).alias("tokens"))
 
 
 def occurrences(found: DataFrame) -> DataFrame:
     """``doc_id, row_key, start, end, value, context, seed``: entities and tokens that two words precede."""
-    part = lambda column, seed: found.select("doc_id", "row_key", F.explode(column).alias("x")).select("doc_id", "row_key", "x.start", "x.end", F.lower("x.m").alias("value"), F.expr(CONTEXT.replace("before", "x.before")).alias("context"), F.lit(seed).alias("seed"))
+    part = lambda column, seed: found.select("doc_id", "row_key", F.explode(column).alias("x")).select("doc_id", "row_key", "x.start", "x.end", F.lower("x.m").alias("value"), F.col("x.context").alias("context"), F.lit(seed).alias("seed"))
     return part("base", True).union(part("tokens", False)).where("context IS NOT NULL")
 
 
 def plain_fillers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``context, n_plain``: words without a digit that follow each context, over all texts."""
+    """``context, n_plain``: words without a digit that follow each context, over
+    all texts. Beyond the bound of a broadcast, word pairs are counted before
+    they are shuffled."""
     words = F.array_remove(F.split(F.lower(docs["text"].cast("string")), rf"[{SPACE}]+"), "")
     rows = docs.select(words.alias("w")).where(F.size("w") > 2)
-    triples = rows.select(F.explode(F.expr("transform(sequence(0, size(w) - 3), i -> named_struct('context', concat(w[i], ' ', w[i + 1]), 'word', w[i + 2]))")).alias("x")).select("x.context", "x.word")
+    plain = rows.select(F.explode(F.expr("transform(sequence(0, size(w) - 3), i -> named_struct('context', xxhash64(w[i], w[i + 1]), 'word', w[i + 2]))")).alias("x")).where(~F.col("x.word").rlike("[0-9]")).select("x.context")
+    counted = lambda x: x.groupBy("context").agg(F.count(F.lit(1)).alias("n_plain"))
     if contexts.count() <= BROADCAST_ROWS:
-        contexts = F.broadcast(contexts)
-    return triples.join(contexts, "context", "left_semi").where(~F.col("word").rlike("[0-9]")).groupBy("context").agg(F.count(F.lit(1)).alias("n_plain"))
+        return counted(plain.join(F.broadcast(contexts), "context", "left_semi"))
+    return counted(plain).join(contexts, "context", "left_semi")
 
 
 def fuller(slots: DataFrame, docs: DataFrame) -> DataFrame:
@@ -176,12 +204,18 @@ def masked(docs: DataFrame, found: DataFrame) -> DataFrame:
     spans = found.select(F.col("doc_id").alias("pii_id"), F.col("row_key").alias("pii_row"), F.concat("base", "added").alias("pii_spans")).where(F.size("pii_spans") > 0).dropDuplicates(["pii_id", "pii_row"])
     spans = spans.withColumn("pii_spans", F.expr("array_sort(transform(pii_spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"))
     # spans of different kinds may overlap: one that begins within an earlier one gives way to it
-    clear = "filter(transform(pii_spans, (x, i) -> named_struct('start', CASE WHEN i = 0 THEN x.start ELSE greatest(x.start, array_max(transform(slice(pii_spans, 1, i), y -> y.end))) END, 'end', x.end, 'kind', x.kind)), x -> x.start < x.end)"
-    spans = spans.withColumn("pii_spans", F.expr(clear))
-    if spans.count() <= BROADCAST_ROWS:
+    spans = running(spans.withColumn("pii_ends", F.expr("transform(pii_spans, x -> x.end)")), {"pii_ends": "pii_reached"}, "max")
+    clear = "filter(transform(pii_spans, (x, i) -> named_struct('start', CASE WHEN i = 0 THEN x.start ELSE greatest(x.start, pii_reached[i - 1]) END, 'end', x.end, 'kind', x.kind)), x -> x.start < x.end)"
+    spans = spans.select("pii_id", "pii_row", F.expr(clear).alias("pii_spans"))
+    if spans.agg(F.coalesce(F.sum(16 + 24 * F.size("pii_spans")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
     rows = keyed.join(spans, (F.col("pii_key") == F.col("pii_row")) & F.col("doc").eqNullSafe(F.col("pii_id")), "left")
-    pieces = "concat(array_join(transform(pii_spans, (x, i) -> concat(substring(text, CASE WHEN i = 0 THEN 1 ELSE pii_spans[i - 1].end + 1 END, x.start - CASE WHEN i = 0 THEN 0 ELSE pii_spans[i - 1].end END), '<', x.kind, '>')), ''), substring(text, element_at(pii_spans, -1).end + 1))"
+    # cut from pieces of the text, as each cut counts characters from the piece's start
+    before = lambda i: f"CASE WHEN {i} = 0 THEN 0 ELSE pii_spans[{i} - 1].end END"
+    parts = f"transform(sequence(0, (size(pii_spans) - 1) div {CHUNK}), c -> named_struct('low', {before(f'c * {CHUNK}')}, 'text', substring(text, 1 + {before(f'c * {CHUNK}')}, pii_spans[least(size(pii_spans), (c + 1) * {CHUNK}) - 1].end - {before(f'c * {CHUNK}')})))"
+    rows = rows.withColumn("pii_parts", F.expr(f"CASE WHEN size(pii_spans) > 0 THEN {parts} END"))
+    part = f"pii_parts[i div {CHUNK}]"
+    pieces = f"concat(array_join(transform(pii_spans, (x, i) -> concat(substring({part}.text, 1 + {before('i')} - {part}.low, x.start - {before('i')}), '<', x.kind, '>')), ''), substring(text, element_at(pii_spans, -1).end + 1))"
     made = F.expr(f"CASE WHEN size(pii_spans) > 0 THEN {pieces} ELSE text END")
     return rows.select(*(made.alias(x) if x == "text" else F.col("row").getField(x).alias(x) for x in columns))
 
