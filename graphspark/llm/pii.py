@@ -66,8 +66,9 @@ def running(rows: DataFrame, columns: dict[str, str], fold: str) -> DataFrame:
     of each element and all before it; null for empty arrays.
 
     The folds are taken by chunks, so that many elements cost little more than
-    in proportion. Expressions stand in separate selections, as lambdas would
-    else compute them again for each element.
+    in proportion. Expressions stand in separate selections and are asked for
+    their size besides: an expression that is used once would be moved into the
+    lambda that uses it and computed again for each element.
     """
     base, both = rows.columns, FOLDS[fold].format
     folded = lambda part: f"aggregate({part}, 0, (a, x) -> {both('a', 'x')})"
@@ -76,7 +77,7 @@ def running(rows: DataFrame, columns: dict[str, str], fold: str) -> DataFrame:
     rows = rows.select(*base, *(F.expr(f"CASE WHEN size({c}) > 0 THEN transform(sequence(0, (size({c}) - 1) div {CHUNK}), k -> {folded(part(c))}) END").alias(f"c_{out}") for c, out in columns.items()))
     chunks = [f"c_{out}" for out in columns.values()]
     rows = rows.select(*base, *(F.expr(f"transform({c}, (y, k) -> {folded(f'slice({c}, 1, k)')})").alias(c) for c in chunks))
-    return rows.select(*base, *(F.expr(f"CASE WHEN size({c}) > 0 THEN transform({c}, (y, i) -> {both(f'c_{out}[i div {CHUNK}]', folded(upto(c)))}) END").alias(out) for c, out in columns.items()))
+    return rows.select(*base, *(F.expr(f"CASE WHEN size(c_{out}) > 0 THEN transform({c}, (y, i) -> {both(f'c_{out}[i div {CHUNK}]', folded(upto(c)))}) END").alias(out) for c, out in columns.items()))
 
 
 def _found(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -102,7 +103,7 @@ def _found(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
     context = lambda k: f"CASE WHEN j >= 2 THEN xxhash64({word(k, 'j - 2')}, {word(k, 'j - 1')}) END"
     rows = made({f"x_{k}": f"flatten(transform(j_{k}, j -> array_repeat({context(k)}, length(w_{k}[j]) - length(replace(w_{k}[j], '{MARK}', '')))))" for k in kinds})
     told = lambda k: f"transform(p_{k}, x -> named_struct('start', x.start, 'end', x.end, 'm', x.m, 'context', x_{k}[x.i]))"
-    return rows.select(*every, *(F.expr(f"CASE WHEN size(p_{k}) > 0 THEN {told(k)} ELSE CAST(array() AS {SPANS}) END").alias(f"s_{k}") for k in kinds))
+    return rows.select(*every, *(F.expr(f"CASE WHEN size(x_{k}) > 0 THEN {told(k)} ELSE CAST(array() AS {SPANS}) END").alias(f"s_{k}") for k in kinds))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def entities(docs: DataFrame) -> DataFrame:
     middle = "sorted[shiftright(a.low + a.high, 1)].start < t.end"
     step = f"CASE WHEN a.low >= a.high THEN a WHEN {middle} THEN named_struct('low', shiftright(a.low + a.high, 1) + 1, 'high', a.high) ELSE named_struct('low', a.low, 'high', shiftright(a.low + a.high, 1)) END"
     before = f"aggregate(sequence(1, int(ceil(log2(size(sorted) + 1)))), named_struct('low', 0, 'high', size(sorted)), (a, n) -> {step}, a -> a.low)"
-    free = f"CASE WHEN size(base) = 0 THEN s_token ELSE filter(s_token, t -> coalesce(get(reached, {before} - 1), 0) <= t.start) END"
+    free = f"CASE WHEN size(reached) > 0 THEN filter(s_token, t -> coalesce(get(reached, {before} - 1), 0) <= t.start) ELSE s_token END"
     return rows.select("doc_id", "row_key", "base", F.expr(free).alias("tokens"))
 
 
@@ -205,7 +206,7 @@ def masked(docs: DataFrame, found: DataFrame) -> DataFrame:
     spans = spans.withColumn("pii_spans", F.expr("array_sort(transform(pii_spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"))
     # spans of different kinds may overlap: one that begins within an earlier one gives way to it
     spans = running(spans.withColumn("pii_ends", F.expr("transform(pii_spans, x -> x.end)")), {"pii_ends": "pii_reached"}, "max")
-    clear = "filter(transform(pii_spans, (x, i) -> named_struct('start', CASE WHEN i = 0 THEN x.start ELSE greatest(x.start, pii_reached[i - 1]) END, 'end', x.end, 'kind', x.kind)), x -> x.start < x.end)"
+    clear = "CASE WHEN size(pii_reached) > 0 THEN filter(transform(pii_spans, (x, i) -> named_struct('start', CASE WHEN i = 0 THEN x.start ELSE greatest(x.start, pii_reached[i - 1]) END, 'end', x.end, 'kind', x.kind)), x -> x.start < x.end) END"
     spans = spans.select("pii_id", "pii_row", F.expr(clear).alias("pii_spans"))
     if spans.agg(F.coalesce(F.sum(16 + 24 * F.size("pii_spans")), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         spans = F.broadcast(spans)

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+from graphspark.llm.common import staged
 from graphspark.llm.pii import entities, find_personal_data, masked, occurrences
 
 BASE = {
@@ -135,11 +136,11 @@ def test_method_equals_a_plain_version(make_docs, odd, prose):
 def test_two_words_before_an_identifier_are_its_context(make_docs):
     """Words with digits, long words and earlier matches are words like any other; a chain in one word has one context."""
     texts = ["my key 1234 5678 ABC99x", "call 1 22222 333333", f"a {'x' * 70} y 77881", f"{'z' * 90} y 77881", "one two 1.1.1.1,2.2.2.2,3.3.3.3", "ip 1.1.1.1", "mark ﷐ a1b2c3"]
-    seen = occurrences(entities(make_docs(texts))).collect()
+    seen = occurrences(staged(entities(make_docs(texts)), "entities")).collect()
     spans = {(x.doc_id, texts[x.doc_id][x.start : x.end]): x.context for x in seen}
     assert set(spans) == {(0, "ABC99x"), (1, "22222"), (1, "333333"), (2, "77881"), (3, "77881"), (4, "1.1.1.1"), (4, "2.2.2.2"), (4, "3.3.3.3"), (6, "a1b2c3")}
     assert spans[2, "77881"] != spans[3, "77881"] and len({c for (k, _), c in spans.items() if k == 4}) == 1
-    again = occurrences(entities(make_docs(["other text 5678 ABC99x", "MY KEY 99999"]))).collect()
+    again = occurrences(staged(entities(make_docs(["other text 5678 ABC99x", "MY KEY 99999"])), "entities")).collect()
     assert {x.context for x in again if x.value == "abc99x"} != {spans[0, "ABC99x"]}
 
 
