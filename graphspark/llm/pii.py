@@ -137,11 +137,12 @@ def plain_fillers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     they are shuffled."""
     words = F.array_remove(F.split(F.lower(docs["text"].cast("string")), rf"[{SPACE}]+"), "")
     rows = docs.select(words.alias("w")).where(F.size("w") > 2)
-    plain = rows.select(F.explode(F.expr("transform(sequence(0, size(w) - 3), i -> named_struct('context', xxhash64(w[i], w[i + 1]), 'word', w[i + 2]))")).alias("x")).where(~F.col("x.word").rlike("[0-9]")).select("x.context")
-    counted = lambda x: x.groupBy("context").agg(F.count(F.lit(1)).alias("n_plain"))
+    triples = rows.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 3)).alias("i")).select(F.expr("xxhash64(w[i], w[i + 1])").alias("context"), F.expr("w[i + 2]").alias("word"))
+    # words are looked at only where the context is one of those
+    counted = lambda x: x.groupBy("context").agg(F.count_if(~F.col("word").rlike("[0-9]")).alias("n_plain"))
     if contexts.count() <= BROADCAST_ROWS:
-        return counted(plain.join(F.broadcast(contexts), "context", "left_semi"))
-    return counted(plain).join(contexts, "context", "left_semi")
+        return counted(triples.join(F.broadcast(contexts), "context", "left_semi"))
+    return counted(triples).join(contexts, "context", "left_semi")
 
 
 def fuller(slots: DataFrame, docs: DataFrame) -> DataFrame:
