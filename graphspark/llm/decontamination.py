@@ -7,12 +7,15 @@ and a direct comparison that confirms an occurrence. Texts are searched in
 lanes of bounded length that advance together, so that each step is one
 vector operation.
 
-The benchmark is read in blocks whose size is measured first: each block's
-tables are broadcast, and the documents are searched once for each block.
+The benchmark is read in blocks whose size is measured first; the blocks are
+broadcast. One Python stage searches the documents for all blocks. A worker
+keeps the tables of ``KEPT_TABLES`` blocks from task to task; those of further
+blocks are made again for each batch of documents.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, blocks, held, id_text, ranges, sha256_hex, table
+from .common import ARROW_BYTES, BLOCK_BYTES, MIX, blocks, bounded, held, id_text, ranges, sha256_hex, table
 
 #: Consecutive item words that make a window.
 WINDOW_WORDS = 10
-#: Bytes of benchmark text whose tables are broadcast at once.
-BENCHMARK_BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in a block, and blocks whose tables (some 50 MB each) a worker keeps.
+BENCHMARK_BLOCK_BYTES, KEPT_TABLES = 2 << 20, 4
 #: Slots of a shift table (a power of two), words of a lane, words of a suffix, pairs compared at once.
 SLOTS = 1 << 20
 LANE = 256
@@ -126,16 +129,20 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW_WORDS):
         self.words: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, raw in items:
-            numbers = [self.words.setdefault(x, len(self.words) + 1) for x in folded_words(raw)]
-            size = min(window, len(numbers))
-            for k in range(len(numbers) - size + 1 if size else 0):
-                owners[tuple(numbers[k : k + size])].add(item)
-        by_size = defaultdict(list)
-        for made in owners:
-            by_size[len(made)].append(made)
-        self.engines = [(WuManber(np.asarray(made, np.int32), len(self.words)), [sorted(owners[x]) for x in made]) for _, made in sorted(by_size.items())]
+        self.names = [x for x, _ in items]
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for item, (_, raw) in enumerate(items):
+            numbers = np.asarray([self.words.setdefault(x, len(self.words) + 1) for x in folded_words(raw)], np.int32)
+            if size := min(window, len(numbers)):
+                by_size[size].append((item, np.lib.stride_tricks.sliding_window_view(numbers, size)))
+        self.engines = []
+        for size, made in sorted(by_size.items()):
+            rows = np.concatenate([x for _, x in made])
+            owner = np.repeat([item for item, _ in made], [len(x) for _, x in made])
+            _, first, number = np.unique(rows.view(np.dtype((np.void, 4 * size))).ravel(), return_index=True, return_inverse=True)
+            number, owner = np.unique(np.stack([number.ravel(), owner]), axis=1)
+            # items of each pattern: owner[starts[k] : starts[k + 1]]
+            self.engines.append((WuManber(rows[first], len(self.words)), np.searchsorted(number, np.arange(len(first) + 1)), owner))
 
     def find(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, set[str]]]:
         """Of each text: its number of words, which of them are hit, the items."""
@@ -146,14 +153,14 @@ class Benchmark:
         flat = np.fromiter([get(x, 0) for words in split for x in words], np.int32, int(counts.sum()))
         edge = np.zeros(len(flat) + 1, np.int32)
         items: dict[int, set[str]] = defaultdict(set)
-        for engine, owners in self.engines:
+        for engine, begin, owner in self.engines:
             ends, numbers = engine.search(flat, starts, counts)
             np.add.at(edge, ends - engine.length + 1, 1)
             np.add.at(edge, ends + 1, -1)
             if len(ends):
                 pairs = np.unique(np.stack([np.searchsorted(starts, ends, side="right") - 1, numbers]), axis=1)
                 for text, number in pairs.T.tolist():
-                    items[text].update(owners[number])
+                    items[text].update(self.names[x] for x in owner[begin[number] : begin[number + 1]].tolist())
         hit = np.cumsum(edge[:-1]) > 0
         for k, (start, count) in enumerate(zip(starts.tolist(), counts.tolist())):
             yield count, hit[start : start + count], items.get(k, set())
@@ -169,6 +176,32 @@ def item_blocks(benchmark: DataFrame, limit: int = BENCHMARK_BLOCK_BYTES) -> Ite
         yield [(x.item_id, x.text.encode()) for x in part.collect()]
 
 
+class Search:
+    """All blocks of a benchmark, to be searched for on the workers."""
+
+    def __init__(self, benchmark: DataFrame, window: int, limit: int):
+        bounded(benchmark.sparkSession)
+        self.window, self.token = window, uuid.uuid4().hex
+        self.blocks = [benchmark.sparkSession.sparkContext.broadcast(x) for x in item_blocks(benchmark, limit)]
+
+    def tables(self) -> Iterator[Benchmark]:
+        kept = held(f"benchmark {self.token}")
+        for k, block in enumerate(self.blocks):
+            made = kept.get(k) or Benchmark(block.value, self.window)
+            if len(kept) < KEPT_TABLES:
+                kept[k] = made
+            yield made
+
+    def texts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray, set[str]]]]]:
+        """Slices of the batches with each text's number of words, which of them are hit, the items."""
+        for part, raw in blocks(batches, limit=BLOCK_BYTES if len(self.blocks) <= KEPT_TABLES else ARROW_BYTES):
+            whole = None
+            for made in self.tables():
+                found = list(made.find(raw))
+                whole = found if whole is None else [(n, x | y, a | b) for (n, x, a), (_, y, b) in zip(whole, found)]
+            yield part, whole
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, limit: int = BENCHMARK_BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items (sorted
     array of strings), contaminated``.
@@ -177,31 +210,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     never occurs; repeated items count by their id. A benchmark without rows
     contaminates nothing. Empty ``docs``: no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    found = id_text(docs).selectExpr("doc_id", "text", "0L AS n_words", "0L AS n_hit", "CAST(NULL AS BINARY) AS hit", "CAST(array() AS ARRAY<STRING>) AS items")
-    schema = "doc_id long, text string, n_words long, n_hit long, hit binary, items array<string>"
-    for items in item_blocks(benchmark, limit):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held("benchmark")
-            tables = Benchmark(shared.value, window)
-            for part, raw in blocks(batches):
-                before, known = part.column(4).to_pylist(), part.column(5).to_pylist()
-                words, sums, hits, names = [], [], [], []
-                for (count, hit, own), old, had in zip(tables.find(raw), before, known):
-                    if old is not None:
-                        hit = hit | np.unpackbits(np.frombuffer(old, np.uint8), count=count).astype(bool)
-                    words.append(count)
-                    sums.append(int(hit.sum()))
-                    hits.append(np.packbits(hit).tobytes() if hit.any() else None)
-                    names.append(sorted({*own, *(had or ())}))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.int64()), pa.array(sums, pa.int64()), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "n_hit", "hit", "items"])
-
-        found = found.mapInArrow(run, schema)
+    search = Search(benchmark, window, limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in search.texts(batches):
+            columns = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([int(x.sum()) for _, x, _ in found], pa.int64()), pa.array([sorted(x) for _, _, x in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_words", "n_hit", "items"])
+
+    found = id_text(docs).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, limit: int = BENCHMARK_BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no window, with all their columns. Each row
+    is judged by its own text, whatever its id."""
+    search = Search(benchmark, window, limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in search.texts(batches):
+            yield part.filter(pa.array([not x.any() for _, x, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("items_sha256", sha256_hex(F.concat_ws(",", "items"))).drop("items")

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from graphspark.llm.decontamination import WuManber, decontaminate
+from graphspark.llm.decontamination import WuManber, decontaminate, uncontaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,6 +58,21 @@ def test_equals_brute_force_in_one_block_and_in_many(spark, make_docs, odd, pros
             assert rows[k].contaminated == (rows[k].n_hit > 0) and rows[k].n_items == len(rows[k]["items"])
 
 
+def test_more_blocks_than_kept_tables_in_one_stage(spark, make_docs, prose):
+    """Twelve blocks: one Python stage; rows without an id are judged by their text."""
+    items = [(k, " ".join(prose(12, 900 + k, 3000))) for k in range(40)]
+    texts = [f"a b {items[k % 40][1]} c" if k % 3 else " ".join(prose(30, k, 3000)) for k in range(60)]
+    docs = make_docs([(None if k % 5 == 0 else k, t) for k, t in enumerate(texts)], clash=True)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    limit = sum(len(t) for _, t in items) // 12
+    found = decontaminate(docs, benchmark, limit=limit)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((x.n_words, x.n_hit, tuple(x["items"])) for x in found.collect()) == sorted((n, h, tuple(i)) for n, h, i in (brute(t, items) for t in texts))
+    kept = uncontaminated(docs, benchmark, limit=limit)
+    assert kept.columns == docs.columns
+    assert sorted(x.text for x in kept.collect()) == sorted(t for t in texts if not brute(t, items)[1])
+
+
 def test_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(make_docs([]), none).collect() == []
