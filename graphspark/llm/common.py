@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 #: Entries that a worker's word cache holds before it is emptied.
 CACHE_ENTRIES = 150_000
-#: Rows of an Arrow batch between the JVM and Python, at most.
-ARROW_ROWS = 2000
+#: Bytes after which an Arrow batch from the JVM to Python ends.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small, if the session allows larger ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
-        spark.conf.set(name, ARROW_ROWS)
+    """Keeps Arrow batches of whole texts small by their bytes, if the session allows larger ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
