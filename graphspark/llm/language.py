@@ -14,14 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, held, id_text, table
+from .common import blocks, bounded, held, id_text, table
 
 DIMENSIONS = 8192
 #: Labelled texts of each language that the centroids are fitted on, at most.
 SAMPLE = 600
+#: Languages that are learned, at most: those with most texts.
+LANGUAGES = 256
 CENTROIDS, ROUNDS = 4, 12
 #: A text is rejected below this share of the least cosine of sample texts of its length.
 SLACK = 0.6
@@ -113,14 +115,37 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def drawn(known: DataFrame, sample: int, languages: int) -> DataFrame | None:
+    """``doc_id, lang, text``: of each of the ``languages`` with most rows of
+    ``known``, the ``sample`` ids with the least hashes, the least text of each.
+
+    A share of the hashes that surely holds them is read off the number of rows;
+    what lies in it goes to the driver, which cuts it to ``sample``. So no task
+    holds a language.
+    """
+    spark, buckets = known.sparkSession, 1 << 32
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not sizes:
+        return None
+    least = sample + int(8 * sample**0.5) + 8
+    limits = spark.createDataFrame([(x.lang, min(buckets, -(-least * buckets // x.n))) for x in sizes], "lang string, below long")
+    within = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("hash")).join(F.broadcast(limits), "lang").where("hash < below")
+    by_language: dict[str, list] = {}
+    for x in sorted(within.select("lang", "hash", "doc_id").distinct().collect()):
+        by_language.setdefault(x.lang, []).append((x.doc_id, x.lang))
+    ids = spark.createDataFrame([x for own in by_language.values() for x in own[:sample]], "doc_id long, lang string")
+    return known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
     """A model of the rows that aren't held out and have an id, a text and a
-    language: ``sample`` texts of each, those with the least hash of the id.
-    None if there is no such row."""
+    language: at most ``sample`` texts of each of ``languages`` languages at
+    most, those with most texts. None if there is no such row."""
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    names = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", F.col("lang").alias("language"))
-    rows = known.join(F.broadcast(names), "doc_id").where("lang = language").select("doc_id", "lang", "text")
+    bounded(docs.sparkSession)
+    rows = drawn(known, sample, languages)
+    if rows is None:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("language")
@@ -188,6 +213,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def rejecting(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all their columns. Without
     a model, all rows with a letter stay."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
