@@ -78,21 +78,28 @@ class FMIndex:
         self.weight = np.zeros(len(text) + 1, np.int64)
         self.weight[1:] = np.cumsum(weights[order])
 
-    def frequent(self, text: np.ndarray, starts: np.ndarray, length: int, least: int = 2) -> np.ndarray:
-        """Which of the patterns ``text[start : start + length]`` occur ``least``
-        times: backward search extends all of them by a symbol at a time and
-        lets go of those whose interval has become too light."""
-        symbol = text[starts + length - 1]
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int, least: int = 2) -> np.ndarray:
+        """For each place of ``ends`` the length of the longest match that ends
+        there and occurs ``least`` times in the indexed text, ``most`` at most.
+
+        ``text`` is streamed against the index; its separators (0) end a match.
+        Backward search extends the matches of all places by a symbol at a time
+        and lets go of those whose interval has become too light.
+        """
+        length = np.zeros(len(ends), np.int64)
+        symbol = text[ends]
         low, high = self.first[symbol], self.first[symbol + 1]
-        live = np.arange(len(starts))
-        for k in range(length - 2, -2, -1):
+        live = np.flatnonzero(symbol > 0)
+        low, high = low[live], high[live]
+        for k in range(1, most + 1):
             enough = self.weight[high] - self.weight[low] >= least
             live, low, high = live[enough], low[enough], high[enough]
-            if k < 0 or not len(live):
+            length[live] = k
+            if k == most or not len(live):
                 break
-            symbol = text[starts[live] + k]
+            symbol = np.where(ends[live] >= k, text[ends[live] - k], 0)
+            inside = symbol > 0
+            live, low, high, symbol = live[inside], low[inside], high[inside], symbol[inside]
             both = self.tree.rank(np.concatenate([low, high]), np.concatenate([symbol, symbol]))
             low, high = self.first[symbol] + both[: len(live)], self.first[symbol] + both[len(live) :]
-        out = np.zeros(len(starts), bool)
-        out[live] = True
-        return out
+        return length

@@ -6,10 +6,11 @@ meet in one shard. Consecutive windows of a text with one anchor make a
 segment. Only segments whose anchor occurs elsewhere can hold a repeated
 window, so only those are indexed, each distinct one once with its number of
 occurrences. A shard's FM-index is built over the segments' overlapping
-``STEP``-word symbols (seven make a window); all segments are streamed against
-it, and backward search over the wavelet tree tells for each place whether the
-match of the threshold's length occurs twice. Intervals of such places go back
-to the documents.
+``STEP``-word symbols (seven make a window). The segments, those of equal text
+as one, are streamed against it: backward search over the wavelet tree computes
+matching statistics, for each place the length of the longest match that ends
+there and occurs twice, up to the threshold. Intervals of places that reach the
+threshold are reported and go back to the documents.
 
 An anchor with many distinct segments (the edge of a passage in very many
 texts) is split: its windows are taken one by one, equal ones counted, and
@@ -121,7 +122,8 @@ def indexed_items(rows: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def search_shard(places: list[bytes], weights: np.ndarray) -> list[np.ndarray]:
-    """For each item of a shard: the windows that occur twice in the shard."""
+    """For each item of a shard: which of its windows occur twice in the shard,
+    by the matching statistics of the places at which they end."""
     joined = np.frombuffer(b"".join(places), np.uint64)
     lengths = np.fromiter((len(x) // 8 for x in places), np.int64, len(places))
     names, symbols = np.unique(joined, return_inverse=True)
@@ -130,15 +132,15 @@ def search_shard(places: list[bytes], weights: np.ndarray) -> list[np.ndarray]:
     item = np.repeat(np.arange(len(lengths)), lengths)
     phase, nth = place % STEP, place // STEP
     sizes = (lengths[:, None] - np.arange(STEP) + STEP - 1) // STEP
-    ends = np.cumsum((np.maximum(sizes, 0) + 1).ravel()).reshape(sizes.shape)
-    string = ends - np.maximum(sizes, 0) - 1
+    borders = np.cumsum((np.maximum(sizes, 0) + 1).ravel()).reshape(sizes.shape)
+    string = borders - np.maximum(sizes, 0) - 1
     at = string[item, phase] + nth
-    text, weight = np.zeros(int(ends[-1, -1]), np.int64), np.zeros(int(ends[-1, -1]), np.int64)
+    text, weight = np.zeros(int(borders[-1, -1]), np.int64), np.zeros(int(borders[-1, -1]), np.int64)
     text[at] = symbols.reshape(-1) + 1
     weight[at] = weights[item]
     index = FMIndex(text, len(names) + 1, SYMBOLS, weight)
-    begins = place < (lengths - SPAN)[item]
-    hit = index.frequent(text, at[begins], SYMBOLS)
+    ends = at[place >= SPAN]  # of the items' windows, in order
+    hit = index.matching_statistics(text, ends, SYMBOLS) >= SYMBOLS
     counts = lengths - SPAN
     return np.split(hit, np.cumsum(counts)[:-1])
 
@@ -174,6 +176,8 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
     distinct = runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.min(F.struct("doc_id", "row_key", "first")).alias("owner"))
     distinct = staged(distinct, "distinct")
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > SPLIT_SEGMENTS).select("anchor", F.lit(True).alias("crowded"))
+    # staged, so that the join with a hot anchor's segments is one of two plain shuffles, which can be split
+    crowded = staged(crowded, "crowded")
     n_distinct, n_windows = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct = distinct.join(crowded, "anchor", "left").withColumn("split", F.coalesce("crowded", F.lit(False)))
     items = staged(indexed_items(rows, distinct), "items")

@@ -72,13 +72,23 @@ def test_fm_index_counts():
     text[::50] = 0
     weights = np.repeat(rng.integers(1, 3, 60), 50)  # one weight per string
     index = FMIndex(text, 6, 7, weights)
-    starts = np.array([k for k in range(len(text) - 7) if (text[k : k + 7] > 0).all()])
-    count = Counter()
-    for k in starts:
-        count[tuple(text[k : k + 7])] += weights[k]
+    weight_of = Counter()
+    for k in range(len(text)):
+        for n in range(1, 8):
+            if k + n <= len(text) and (text[k : k + n] > 0).all():
+                weight_of[tuple(text[k : k + n])] += weights[k]
     for least in (2, 3):
-        assert index.frequent(text, starts, 7, least).tolist() == [count[tuple(text[k : k + 7])] >= least for k in starts]
+        want = [max([n for n in range(1, 8) if k - n + 1 >= 0 and (text[k - n + 1 : k + 1] > 0).all() and weight_of[tuple(text[k - n + 1 : k + 1])] >= least], default=0) for k in range(len(text))]
+        assert index.matching_statistics(text, np.arange(len(text)), 7, least).tolist() == want
     tree = WaveletTree(text, 6)
     at = rng.integers(0, len(text) + 1, 200)
     symbol = rng.integers(0, 6, 200)
     assert tree.rank(at, symbol).tolist() == [int((text[:a] == s).sum()) for a, s in zip(at, symbol)]
+
+
+def test_a_very_long_text(make_docs, prose):
+    """Some megabytes with a passage twice, once in another document."""
+    words, passage = prose(300_000, 6, 50_000), prose(40, 7, 3000)
+    text = " ".join([*words[:1000], *passage, *words[1000:], *passage])
+    rows = [(1, text), (2, "x " + " ".join(passage) + " y")]
+    assert result(make_docs(rows)) == brute(rows)
