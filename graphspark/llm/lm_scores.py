@@ -222,16 +222,16 @@ WITH words AS (
     doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS target FROM documents
 ), places AS (SELECT doc_id, target, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM words
 ), totals AS (SELECT count(*) AS n, count(*) FILTER (WHERE target) AS t FROM places
-), vocabulary AS (SELECT word, count(*) AS n, count(*) FILTER (WHERE target) AS t FROM places GROUP BY word HAVING count(*) * 1048576 >= (SELECT n FROM totals) AND octet_length(encode(word)) <= 48
-), unknown AS (SELECT (SELECT n FROM totals) - coalesce(sum(n), 0) AS n, (SELECT t FROM totals) - coalesce(sum(t), 0) AS t, count(*) AS v FROM vocabulary
-), numbered AS (SELECT p.doc_id, p.target, p.k, v.word, coalesce(v.n, u.n) AS n, coalesce(v.t, u.t) AS t FROM places p LEFT JOIN vocabulary v ON v.word = p.word CROSS JOIN unknown u
-), steps AS (SELECT doc_id, target, k, word, n, t, lag(word) OVER w AS before, lag(n) OVER w AS bn, lag(t) OVER w AS bt FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY k)
-), pairs AS (SELECT before, word, count(*) AS n, count(*) FILTER (WHERE target) AS t FROM steps WHERE before IS NOT NULL AND word IS NOT NULL GROUP BY before, word HAVING count(*) * 1048576 >= (SELECT n FROM totals)
+), vocabulary AS (SELECT word, count(*) AS n, count(*) FILTER (WHERE target) AS t FROM places GROUP BY word
+), size AS (SELECT count(*) AS v FROM vocabulary
+), counted AS (SELECT p.doc_id, p.target, p.k, p.word, v.n, v.t FROM places p JOIN vocabulary v ON v.word = p.word
+), steps AS (SELECT doc_id, target, k, word, n, t, lag(word) OVER w AS before, lag(n) OVER w AS bn, lag(t) OVER w AS bt FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), pairs AS (SELECT before, word, count(*) AS n, count(*) FILTER (WHERE target) AS t FROM steps WHERE before IS NOT NULL GROUP BY before, word
 ), losses AS (
   SELECT s.doc_id,
     -ln(CASE WHEN s.k = 1 THEN 1.0 ELSE 0.3 END * (s.t + 1) / (x.t + u.v + 1) + CASE WHEN p.t IS NULL OR s.bt = 0 THEN 0.0 ELSE 0.7 * p.t / s.bt END) AS target_loss,
     -ln(CASE WHEN s.k = 1 THEN 1.0 ELSE 0.3 END * (s.n + 1) / (x.n + u.v + 1) + CASE WHEN p.n IS NULL OR s.bn = 0 THEN 0.0 ELSE 0.7 * p.n / s.bn END) AS background_loss
-  FROM steps s CROSS JOIN totals x CROSS JOIN unknown u LEFT JOIN pairs p ON p.before = s.before AND p.word = s.word
+  FROM steps s CROSS JOIN totals x CROSS JOIN size u LEFT JOIN pairs p ON p.before = s.before AND p.word = s.word
 ), means AS (SELECT doc_id, avg(target_loss) AS target_loss, avg(background_loss) AS background_loss FROM losses GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(m.target_loss, 6) AS target_loss, round(m.background_loss, 6) AS background_loss, round(m.target_loss - m.background_loss, 6) AS score
 FROM words w LEFT JOIN means m ON m.doc_id = w.doc_id
