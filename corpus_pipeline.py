@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.llm.common import staged, table
-from graphspark.llm.decontamination import decontaminate
+from graphspark.llm.decontamination import uncontaminated
 from graphspark.llm.language import fit, rejecting
 from graphspark.llm.near_duplicates import near_duplicates
 from graphspark.llm.packing import pack
@@ -72,13 +72,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go. Rows with one id and
-    different texts are judged each."""
-    rows = apart(docs)
-    if rows is not None:
-        return decontamination(spark, rows.withColumnRenamed("number", "doc_id"), sf_dir).select("row.*")
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated").select(F.col("doc_id").alias("gone")))
+    """Rows whose text holds a window of a benchmark item go, whatever their id."""
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
