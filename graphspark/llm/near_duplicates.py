@@ -177,17 +177,22 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+# What is found out about a bucket is staged before its members are joined with
+# it: a join of two plain shuffles can split the members of a hot bucket, one
+# that shares its shuffle with an aggregation can't.
+
+
 def unsettled(bands: DataFrame, found: DataFrame) -> DataFrame:
     """``band, rep, component`` of the buckets that hold several components."""
     rows = bands.join(found, bands["rep"] == found["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     open_bands = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    return rows.join(open_bands, "band")
+    return rows.join(staged(open_bands, "open"), "band")
 
 
 def led(rows: DataFrame, order) -> DataFrame:
     """Pairs of each bucket's leader, least by ``order``, with the members of other components."""
     leaders = rows.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("rep"), F.col("component"))).alias("l")).select("band", F.col("l.rep").alias("leader"), F.col("l.component").alias("own"))
-    return rows.join(leaders, "band").where("rep <> leader AND component <> own").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
+    return rows.join(staged(leaders, "leaders"), "band").where("rep <> leader AND component <> own").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
 
 
 def compared(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,6 +206,7 @@ def compared(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     n_bands, least = SETTINGS[percent]
     sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total")).select("band", F.col("m.component").alias("main"), F.col("m.n").alias("n_main"), F.col("total"))
+    largest = staged(largest, "largest")
     chunks = lambda n: F.ceil(n / F.lit(BLOCK_CLASSES)).cast("int")
     placed = rows.join(largest, "band").withColumn("few", chunks(F.col("total") - F.col("n_main"))).withColumn("many", chunks(F.col("n_main"))).withColumn("is_main", F.col("component") == F.col("main"))
     spread = F.xxhash64("rep")
@@ -238,6 +244,15 @@ def compared(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     return members.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def across(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` of classes with an id that occurs in several of them."""
+    own = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key")
+    key = F.xxhash64("set_key")
+    several = staged(own.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id"), "several")
+    pairs = own.join(several, "doc_id").distinct().join(classes.select("set_key", "rep"), "set_key")
+    return pairs.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -252,14 +267,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = staged(signatures(docs, n_bands), "signatures")
     classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
+    one_id = staged(across(rows, classes), "across")
     bands = classes.select(F.explode("bands").alias("band"), "rep")
     shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    bands = staged(bands.join(shared.select("band"), "band"), "bands")
+    bands = staged(bands.join(staged(shared.select("band"), "shared"), "band"), "bands")
     candidates = classes.join(bands.select("rep").distinct(), "rep", "left_semi")
     candidates = staged(candidates, "candidates")
     sets = staged(shingle_sets(docs, candidates.select("rep").distinct()), "sets")
     none = bands.sparkSession.createDataFrame([], "node long, component long")
-    links, found = None, none
+    links, found = one_id, none
+    if not one_id.isEmpty():
+        found = staged(components(links), "components")
     for step in ("first", "random", "all"):
         rest = staged(unsettled(bands, found), "unsettled")
         if rest.isEmpty():
@@ -271,11 +289,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         else:
             pairs = compared(rest, candidates, sets, percent)
         more = staged(linked(staged(pairs, "pairs"), sets, percent), "confirmed")
-        links = more if links is None else links.union(more)
+        links = links.union(more)
         found = staged(components(links), "components")
     # classes of equal sets, then components of classes
     named = classes.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    rows = rows.select("doc_id", "n_shingles", "set_key")
+    # rows without words need no join, in which they would be one key
+    blank = rows.where("set_key IS NULL").withColumn("component", F.lit(None).cast("long"))
+    out = rows.where("set_key IS NOT NULL").join(named, "set_key", "left").unionByName(blank)
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -115,3 +115,19 @@ def test_pipeline_stage_links_from_four_fifths_on(spark, make_docs, prose):
     assert {x.doc_id for x in nd.near_duplicates(docs, 80).collect() if not x.kept} == linked
     assert {x.doc_id for x in nd.near_duplicates(docs).collect() if not x.kept} == linked - between
     assert {x.doc_id for x in corpus_pipeline.near_duplicate(spark, docs, "").collect()} == set(range(240)) - linked
+
+
+def test_an_id_with_several_texts_links_their_classes(make_docs, prose):
+    """5 has A and B; so 7, which has A, and 3, which has B, are one component."""
+    one, two, three = (" ".join(prose(40, 700 + k, 4000)) for k in range(3))
+    rows = [(5, one), (7, one), (3, two), (5, two), (9, three), (9, None), (11, three)]
+    got = {(x.doc_id, x.component_id, x.kept) for x in nd.near_duplicates(make_docs(rows)).collect()}
+    assert got == {(5, 3, False), (7, 3, False), (3, 3, True), (9, 9, True), (11, 9, False)}
+
+
+def test_very_long_texts(make_docs, prose):
+    """Some megabytes each: a copy in other case, one changed word, and another text."""
+    words = prose(400_000, 4, 50_000)
+    texts = [" ".join(words), " ".join(words).upper(), " ".join([*words[:1000], "changed", *words[1001:]]), " ".join(prose(400_000, 5, 50_000)), "short text"]
+    got = {x.doc_id: x.component_id for x in nd.near_duplicates(make_docs(texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
