@@ -92,7 +92,7 @@ def plain_fennel(n, e, train, parts, imbalance=1.1, gamma=2.0, rounds=1, patienc
         for p in range(parts):
             if size[p] + 1 > int(cap) or (k in train and tsize[p] + 1 > int(tcap)):
                 continue
-            s = sum(seen[b] == p for b in near[k]) - alpha * gamma * size[p] ** (gamma - 1) - tsize[p] ** 0.5
+            s = sum(b >= 0 and seen[b] == p for b in near[k]) - alpha * gamma * size[p] ** (gamma - 1) - tsize[p] ** 0.5
             if s > top:
                 top, choice = s, p
         assert choice is not None
@@ -168,9 +168,9 @@ def test_two_levels(spark):
         local = {k: j for j, k in enumerate(members)}
         # neighbours elsewhere count as entries, not as members
         own = [(local[a], local.get(b, -1)) for a, b in e if a in local]
-        want = plain_fennel(len(members), own, {local[k] for k in train_ids if k in local}, 3, 1.5, total_train=len(train_ids)) if all(b >= 0 for _, b in own) else None
-        if want is not None:
-            assert [x - 3 * p for _, q, x in found if q == p] == want
+        want = plain_fennel(len(members), own, {local[k] for k in train_ids if k in local}, 3, 1.5, total_train=len(train_ids))
+        assert any(b < 0 for _, b in own)
+        assert [x - 3 * p for _, q, x in found if q == p] == want
         sizes = np.bincount([x - 3 * p for _, q, x in found if q == p], minlength=3)
         assert sizes.max() <= int(len(members) / 3 * 1.5)
 
@@ -182,6 +182,27 @@ def test_bloom_membership_places_all(spark):
     assert [k for k, _ in found] == list(range(n))
 
 
+def plain_bloom_fennel(n, e, parts, imbalance, rate):
+    """The rule with a filter of each part, asked one by one."""
+    filters = [BloomFilter(-(-n // parts), rate) for _ in range(parts)]
+    alpha, size, place = parts * len(e) / n**2, [0] * parts, []
+    for k in range(n):
+        near = np.array([b for a, b in e if a == k], np.int64)
+        scores = [(int(f.contains(near).sum()) if len(near) else 0) - alpha * 2 * m if m + 1 <= int(n / parts * imbalance) else -math.inf for f, m in zip(filters, size)]
+        place.append(int(np.argmax(scores)))
+        filters[place[-1]].insert(k)
+        size[place[-1]] += 1
+    return place
+
+
+def test_bloom_membership_at_the_usual_rate(spark):
+    n, e = 120, random_graph(120, 500, 8)
+    for parts in (4, 70):
+        found = rows(partition.fennel(nodes(spark, n), edges(spark, e), ids(spark, []), parts, membership="bloom", imbalance=1.6))
+        assert [p for _, p in found] == plain_bloom_fennel(n, e, parts, 1.6, 0.1)
+    assert plain_bloom_fennel(n, e, 4, 1.6, 0.1) != plain_fennel(n, e, set(), 4, 1.6)
+
+
 def test_first_level_numbers(spark):
     e = both([(0, 1), (1, 2), (2, 3), (3, 4), (0, 4), (1, 4)])
     parts = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)], "node long, part int")
