@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,21 +68,72 @@ def read_masked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return clean_labels(table), splits_from_masks(table)
 
 
+#: Records that one row of a raw file's pieces holds.
+PIECE = 1 << 16
+
+
+def _pieces(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """``pos, part``: a raw file's records of ``size`` bytes, many in a row, with
+    the place of the first. The file is split like any other; only the number of
+    records of each split goes to the driver."""
+    records = spark.sparkContext.binaryRecords(path, size)
+    counts = dict(records.mapPartitionsWithIndex(lambda k, rows: [(k, sum(1 for _ in rows))]).collect())
+    first = dict(zip(sorted(counts), accumulate((counts[k] for k in sorted(counts)), initial=0)))
+
+    def pieces(k: int, rows: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+        at = first[k]
+        while part := list(islice(rows, PIECE)):
+            yield at, b"".join(part)
+            at += len(part)
+
+    return spark.createDataFrame(records.mapPartitionsWithIndex(pieces), "pos long, part binary")
+
+
+def load_int64(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, value`` of a raw little-endian int64 array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pos, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = np.frombuffer(part, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(pos, pos + len(values))), pa.array(values)], ["pos", "value"])
+
+    return _pieces(spark, path, 8).mapInArrow(run, "pos long, value long")
+
+
+def load_float32(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """``node, feat``: rows of ``width`` numbers of a raw little-endian float32 matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pos, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = np.frombuffer(part, "<f4")
+                n = len(values) // width
+                feat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(pos, pos + n)), feat], ["node", "feat"])
+
+    return _pieces(spark, path, 4 * width).mapInArrow(run, "node long, feat array<float>")
+
+
 def read_csr(spark: SparkSession, indptr: str, indices: str) -> DataFrame:
     """``src, dst`` from two raw little-endian int64 arrays: rows' starts and
-    column ids. Files are read in records of eight bytes, in parallel."""
-    def records(path: str, name: str) -> DataFrame:
-        raw = spark.read.format("binaryFile").load(path).select("content", "length")
-        step = 1 << 20
-        pieces = raw.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("length") - 1) / (8 * step))))).alias("k"), "content")
-        pieces = pieces.select("k", F.expr(f"substring(content, k * {8 * step} + 1, {8 * step})").alias("part"))
-        words = pieces.select("k", F.explode(F.expr("transform(sequence(0, length(part) div 8 - 1), i -> struct(i AS i, conv(hex(reverse_bytes(substring(part, i * 8 + 1, 8))), 16, 10) AS v))".replace("reverse_bytes(substring(part, i * 8 + 1, 8))", "concat(substring(part, i * 8 + 8, 1), substring(part, i * 8 + 7, 1), substring(part, i * 8 + 6, 1), substring(part, i * 8 + 5, 1), substring(part, i * 8 + 4, 1), substring(part, i * 8 + 3, 1), substring(part, i * 8 + 2, 1), substring(part, i * 8 + 1, 1))"))).alias("x"))
-        return words.select((F.col("k") * step + F.col("x.i")).alias("pos"), F.col("x.v").cast("long").alias(name))
-
-    starts = records(indptr, "start")
+    column ids, read in splits."""
+    starts = load_int64(spark, indptr).withColumnRenamed("value", "start")
     ends = starts.select((F.col("pos") - 1).alias("pos"), F.col("start").alias("end"))
     rows = starts.join(ends, "pos").where("end > start").select(F.col("pos").alias("src"), F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    return rows.join(records(indices, "dst"), "pos").select("src", "dst")
+    return rows.join(load_int64(spark, indices).withColumnRenamed("value", "dst"), "pos").select("src", "dst")
+
+
+def read_edge_lists(spark: SparkSession, path: str, num_nodes: int, features: str, width: int, labels: str, splits: dict[str, str]) -> Graph:
+    """A graph from Parquet edges ``src, dst`` in any direction, raw float32
+    ``features`` of ``width`` and ``labels``, and node lists (Parquet ``node``) by
+    split, as public collections of graphs are laid out on disk."""
+    own = None
+    for name, place in splits.items():
+        part = spark.read.parquet(place).select("node", F.lit(name).alias("split"))
+        own = part if own is None else own.unionByName(part)
+    told = load_float32(spark, labels, 1).select("node", F.element_at("feat", 1).alias("label"))
+    return Graph.from_edges(spark.read.parquet(path).select("src", "dst"), num_nodes, load_float32(spark, features, width), told, own)
 
 
 def save_partitioned(edges: DataFrame, assignment: DataFrame, splits: DataFrame, path: str) -> None:
@@ -97,9 +152,40 @@ def load_parts(spark: SparkSession, path: str, parts: list[int]) -> tuple[DataFr
 
 def save_trace(levels: list[DataFrame], rows: list[DataFrame], path: str) -> None:
     """The sampled rows and node lists of all batches, by batch."""
-    every = lambda tables: [x.withColumn("layer", F.lit(k)) for k, x in enumerate(tables)]
+    every = lambda tables: [x.withColumn("trace_layer", F.lit(k)) for k, x in enumerate(tables)]
     for name, tables in (("rows", every(rows)), ("nids", every(levels))):
         whole = tables[0]
         for x in tables[1:]:
             whole = whole.unionByName(x)
         whole.repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(f"{path}/{name}")
+
+
+def load_trace(spark: SparkSession, path: str, batches: list[int] | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(levels, rows) of a saved trace; with ``batches`` only those folders are read."""
+    out = []
+    for name in ("nids", "rows"):
+        whole = spark.read.parquet(f"{path}/{name}")
+        whole = whole.withColumn("batch", F.col("batch").cast("long"))
+        if batches is not None:
+            whole = whole.where(F.col("batch").isin(batches))
+        out.append(whole)
+    n = out[0].agg(F.max("trace_layer")).first()[0] or 0
+    return tuple([whole.where(F.col("trace_layer") == k).drop("trace_layer") for k in range(count)] for whole, count in zip(out, (n + 1, n)))
+
+
+def save_neighbor_cache(cache: DataFrame, words: DataFrame, size: int, path: str) -> None:
+    """The cache's address table and words, in order, and its size in bytes."""
+    cache.repartitionByRange("node").sortWithinPartitions("node").write.mode("overwrite").parquet(f"{path}/table")
+    words.repartitionByRange("pos").sortWithinPartitions("pos").write.mode("overwrite").parquet(f"{path}/words")
+    cache.sparkSession.range(1).select(F.lit(size).cast("long").alias("bytes")).write.mode("overwrite").parquet(f"{path}/conf")
+
+
+def load_neighbor_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """(``node, address``; ``pos, word``; bytes) of a saved cache."""
+    return spark.read.parquet(f"{path}/table"), spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/conf").first().bytes
+
+
+def cached_rows(table: DataFrame, words: DataFrame) -> DataFrame:
+    """``node, dst``: the neighbours that a cache holds for its nodes."""
+    rows = table.join(words, F.col("address") == F.col("pos")).select("node", F.explode(F.expr("CASE WHEN word > 0 THEN sequence(address + 1, address + word) END")).alias("pos"))
+    return rows.join(words, "pos").select("node", F.col("word").alias("dst"))
