@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphspark.operators.ingest import RANGE, running_sum
+from graphspark.operators.ingest import ranged, running_sum
 
 INT32_MAX = (1 << 31) - 1
 
@@ -34,7 +34,8 @@ def neighbor_cache(score: DataFrame, degrees: DataFrame, size: int, num_nodes: i
     id) whose rows, a word longer than their degree, fit. No rows if nothing does."""
     capacity = neighbor_capacity(size, num_nodes)
     rows = score.select("node", F.col("cross_edges").alias("score")).join(degrees, "node").withColumn("words", F.col("deg") + 1)
-    placed = running_sum(rows, "words", "upto", [-F.col("score"), F.floor(F.col("node") / RANGE)], [F.col("score").desc(), F.col("node").asc()])
+    order = [F.col("score").desc(), F.col("node").asc()]
+    placed = running_sum(ranged(rows, order), "words", "upto", [F.col("_range")], order)
     return placed.where(F.col("upto") <= capacity).select("node", (F.col("upto") - F.col("words")).alias("address"))
 
 

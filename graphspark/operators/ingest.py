@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphspark.session import settled
+
 #: Nodes of a range whose running sums one task takes.
 RANGE = 1 << 16
 
@@ -41,6 +43,14 @@ def running_sum(rows: DataFrame, value: str, out: str, ranges: list[Column], ord
     return rows.withColumn(out, F.sum(value).over(within)).join(before, names).withColumn(out, F.col(out) + F.col("_before")).drop(*names, "_before")
 
 
+def ranged(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows``, written once, with ``_range``: a number that ``order`` never
+    descends, each of about ``RANGE`` rows. The ranges are over all of ``order``,
+    so that ties of its first columns fall into several."""
+    n = max(1, -(-rows.count() // RANGE))
+    return settled(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+
+
 def csr_indptr(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, indptr``: where a node's row begins, and a closing row for the end."""
     deg = degrees(nodes, edges)

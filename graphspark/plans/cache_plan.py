@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of values within which ranks are taken.
-RANGES = 256
+from graphspark.operators.ingest import ranged
 
 
 def ranked(values: DataFrame, value: str) -> DataFrame:
     """``node, value, rank (1..), upto`` by descending value, then id: the rank
-    and the sum of the values up to it. Rows are dealt to ranges by approximate
-    quantiles; only the ranges' sums meet in one task."""
+    and the sum of the values up to it. Rows are dealt to ranges of value and id,
+    so that many equal values are several ranges; only the ranges' sums meet in
+    one task."""
     rows = values.select("node", F.col(value).cast("double").alias("value"))
-    cuts = sorted(set(rows.approxQuantile("value", [k / RANGES for k in range(1, RANGES)], 0.002)))
-    above = F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("value")))
-    rows = rows.withColumn("range", above)
+    rows = ranged(rows, [F.col("value").desc(), F.col("node").asc()]).withColumnRenamed("_range", "range")
     sums = rows.groupBy("range").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("range", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
