@@ -54,6 +54,9 @@ COMMON: dict[str, str] = {
     "seeds": f"SELECT b.super_batch, a.node, row_number() OVER (PARTITION BY b.super_batch ORDER BY {_key("'0'", "'node'", 'a.node')}, a.node) - 1 AS pos FROM assignment a JOIN splits s ON s.node = a.node AND s.split = 'train' JOIN sbs b ON b.part = a.part",
     "firsts": "SELECT super_batch, coalesce(sum(n) OVER (ORDER BY super_batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT super_batch, ceil(count(*) / 100) AS n FROM seeds GROUP BY super_batch)",
     "t0": "SELECT CAST(f.first + s.pos // 100 AS BIGINT) AS batch, s.node, s.pos % 100 AS idx FROM seeds s JOIN firsts f ON f.super_batch = s.super_batch",
+    "v_seeds": f"SELECT b.super_batch, a.node, row_number() OVER (PARTITION BY b.super_batch ORDER BY {_key("'0'", "'node'", 'a.node')}, a.node) - 1 AS pos FROM assignment a JOIN splits s ON s.node = a.node AND s.split = 'valid' JOIN sbs b ON b.part = a.part",
+    "v_firsts": "SELECT super_batch, coalesce(sum(n) OVER (ORDER BY super_batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT super_batch, ceil(count(*) / 100) AS n FROM v_seeds GROUP BY super_batch)",
+    "v0": "SELECT CAST(f.first + s.pos // 100 AS BIGINT) AS batch, s.node, s.pos % 100 AS idx FROM v_seeds s JOIN v_firsts f ON f.super_batch = s.super_batch",
     "r0": _sample(0, "t0", SIZES[0]),
     "f0": _first("t0", "r0"),
     "t1": _next("t0", "f0"),
@@ -104,33 +107,59 @@ COMMON: dict[str, str] = {
     "means": "SELECT r.batch, r.src AS node, x.pos, avg(x.x) AS mean FROM r0 r JOIN entries x ON x.node = r.dst GROUP BY r.batch, r.src, x.pos",
     "outputs": "SELECT unnest(range(0, 10)) AS o",
     "layer": f"SELECT t.batch, t.node, o.o AS pos, sum({_weight('o.o', 'x.pos', 1)} * coalesce(m.mean, 0) + {_weight('o.o', 'x.pos', 2)} * x.x) + {_weight('o.o', '0', 3)} AS y FROM t0 t JOIN entries x ON x.node = t.node LEFT JOIN means m ON m.batch = t.batch AND m.node = t.node AND m.pos = x.pos CROSS JOIN outputs o GROUP BY t.batch, t.node, o.o",
+    "inner_means": "SELECT r.batch, r.src AS node, x.pos, avg(x.x) AS mean FROM r1 r JOIN entries x ON x.node = r.dst GROUP BY r.batch, r.src, x.pos",
+    "inner_layer": f"SELECT t.batch, t.node, o.o AS pos, greatest(0.0, sum({_weight('o.o', 'x.pos', 1)} * coalesce(m.mean, 0) + {_weight('o.o', 'x.pos', 2)} * x.x) + {_weight('o.o', '0', 3)}) AS x FROM t1 t JOIN entries x ON x.node = t.node LEFT JOIN inner_means m ON m.batch = t.batch AND m.node = t.node AND m.pos = x.pos CROSS JOIN (SELECT unnest(range(0, 16)) AS o) o GROUP BY t.batch, t.node, o.o",
+    "outer_means": "SELECT r.batch, r.src AS node, x.pos, avg(x.x) AS mean FROM r0 r JOIN inner_layer x ON x.batch = r.batch AND x.node = r.dst GROUP BY r.batch, r.src, x.pos",
+    "outer_layer": f"SELECT t.batch, t.node, o.o AS pos, sum({_weight('o.o', 'x.pos', 4)} * coalesce(m.mean, 0) + {_weight('o.o', 'x.pos', 5)} * x.x) + {_weight('o.o', '0', 6)} AS y FROM t0 t JOIN inner_layer x ON x.batch = t.batch AND x.node = t.node LEFT JOIN outer_means m ON m.batch = t.batch AND m.node = t.node AND m.pos = x.pos CROSS JOIN outputs o GROUP BY t.batch, t.node, o.o",
     "logp": "SELECT batch, node, pos, y - max(y) OVER w - ln(sum(exp(y)) OVER w / exp(max(y) OVER w)) AS logp FROM layer WINDOW w AS (PARTITION BY batch, node)",
     "best": "SELECT batch, node, min(pos) AS pos FROM (SELECT *, max(logp) OVER (PARTITION BY batch, node) AS top FROM logp) WHERE logp = top GROUP BY batch, node",
 }
 
 
-def _fennel(imbalance: float, rounds: int) -> str:
-    """Placement of the first nodes, one per step, with the state in lists."""
-    feasible = "len(list_filter(live, lambda x: x = p)) + 1 <= cap AND (NOT train[step + 1] OR len(list_filter(range(1, len(live) + 1), lambda i: live[i] = p AND train[i])) + 1 <= tcap)"
-    score = "len(list_filter(nbrs, lambda d: seen[d + 1] = p)) - alpha * 2.0 * len(list_filter(live, lambda x: x = p)) - sqrt(len(list_filter(range(1, len(live) + 1), lambda i: live[i] = p AND train[i])))"
-    scores = f"list_transform(range(0, 4), lambda p: CASE WHEN {feasible} THEN {score} ELSE CAST('-Infinity' AS DOUBLE) END)"
-    place = "list_position(s, list_max(s)) - 1"
-    sql = f"""
-    small AS (SELECT node FROM nodes WHERE node < 60),
-    small_edges AS (SELECT src, dst FROM edges WHERE src < 60 AND dst < 60),
-    totals AS (SELECT n, CAST(4.0 AS DOUBLE) * e / (n * n) AS alpha, CAST(floor(CAST(n AS DOUBLE) / 4 * {imbalance}) AS BIGINT) AS cap, CAST(floor(CAST(t AS DOUBLE) / 4 * {imbalance}) AS BIGINT) AS tcap FROM (SELECT (SELECT count(*) FROM small) AS n, (SELECT count(*) FROM small_edges) AS e, (SELECT count(*) FROM small WHERE node % 10 < 6) AS t)),
-    flags AS (SELECT list(node % 10 < 6 ORDER BY node) AS train FROM small),
-    rows AS (SELECT s.node, coalesce(list(e.dst) FILTER (WHERE e.dst IS NOT NULL), []) AS nbrs FROM small s LEFT JOIN small_edges e ON e.src = s.node GROUP BY s.node),
-    one AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS live UNION ALL
-      SELECT step + 1, list_append(live, {place}) FROM (SELECT step, live, {scores} AS s FROM (SELECT f.step, f.live, f.live AS seen, r.nbrs, t.alpha, t.cap, t.tcap, g.train FROM one f JOIN rows r ON r.node = f.step CROSS JOIN totals t CROSS JOIN flags g)))"""
-    last = "one"
+def _placed(name: str, parts: int, imbalance: float, rows: str, trained: str) -> str:
+    """Tables that end in ``name(grp, step, live, ...)``: placements of the nodes of
+    each group, one per step, with the state in lists. ``rows`` are the nodes
+    ``grp, local, train, nbrs`` (negative: outside), ``trained`` the number of
+    training nodes that the cap follows from."""
+    each = lambda x: f"list_transform(range(0, {parts}), lambda q: {x})"
+    return f"""{name}_rows AS MATERIALIZED ({rows}),
+    {name}_totals AS MATERIALIZED (SELECT grp, count(*) AS n, CAST({parts} AS DOUBLE) * sum(len(nbrs)) / (count(*) * count(*)) AS alpha, CAST(floor(CAST(count(*) AS DOUBLE) / {parts} * {imbalance}) AS BIGINT) AS cap, CAST(floor(CAST(({trained}) AS DOUBLE) / {parts} * {imbalance}) AS BIGINT) AS tcap FROM {name}_rows GROUP BY grp),
+    {name} AS (SELECT grp, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS live, {each("CAST(0 AS BIGINT)")} AS sizes, {each("CAST(0 AS BIGINT)")} AS tsizes FROM {name}_totals UNION ALL
+      SELECT grp, step + 1, list_append(live, p), {each("sizes[q + 1] + CASE WHEN q = p THEN 1 ELSE 0 END")}, {each("tsizes[q + 1] + CASE WHEN q = p AND train THEN 1 ELSE 0 END")}
+      FROM (SELECT *, list_position(s, list_max(s)) - 1 AS p FROM (SELECT *, {each(_SCORE)} AS s FROM (
+        SELECT f.*, r.train, t.alpha, t.cap, t.tcap, list_transform(r.nbrs, lambda d: f.live[d + 1]) AS near FROM {name} f JOIN {name}_rows r ON r.grp = f.grp AND r.local = f.step JOIN {name}_totals t ON t.grp = f.grp))))"""
+
+
+_SCORE = "CASE WHEN sizes[q + 1] + 1 <= cap AND (NOT train OR tsizes[q + 1] + 1 <= tcap) THEN len(list_filter(near, lambda x: x = q)) - alpha * 2.0 * sizes[q + 1] - sqrt(tsizes[q + 1]) ELSE CAST('-Infinity' AS DOUBLE) END"
+_TRAINED = "SELECT count(*) FROM nodes WHERE node % 10 < 6"
+_WHOLE = "SELECT CAST(0 AS BIGINT) AS grp, n.node AS local, n.node % 10 < 6 AS train, coalesce(list(e.dst) FILTER (WHERE e.dst IS NOT NULL), []) AS nbrs FROM nodes n LEFT JOIN edges e ON e.src = n.node GROUP BY n.node"
+
+
+def _fennel(rounds: int) -> str:
+    """The whole graph in ten parts, and a second round that moves nodes by the parts of the first."""
+    sql, last = _placed("one", 10, 1.3, _WHOLE, _TRAINED), "one"
     if rounds == 2:
+        each = lambda x: f"list_transform(range(0, 10), lambda q: {x})"
+        change = "CASE WHEN p <> now AND q = p THEN {0} WHEN p <> now AND q = now THEN -{0} ELSE 0 END"
         sql += f""",
-    done AS (SELECT live FROM one WHERE step = (SELECT n FROM totals)),
-    two AS (SELECT CAST(0 AS BIGINT) AS step, live, live AS seen FROM done UNION ALL
-      SELECT step + 1, list_concat(list_append(live[1:step], {place}), live[step + 2:]), seen FROM (SELECT step, live, seen, {scores} AS s FROM (SELECT f.step, f.live, f.seen, r.nbrs, t.alpha, t.cap, t.tcap, g.train FROM two f JOIN rows r ON r.node = f.step CROSS JOIN totals t CROSS JOIN flags g)))"""
+    two AS (SELECT CAST(0 AS BIGINT) AS grp, CAST(0 AS BIGINT) AS step, live, live AS seen, sizes, tsizes FROM one WHERE step = (SELECT n FROM one_totals) UNION ALL
+      SELECT grp, step + 1, list_concat(list_append(live[1:step], p), live[step + 2:]), seen, {each("sizes[q + 1] + " + change.format("1"))}, {each("tsizes[q + 1] + " + change.format("CASE WHEN train THEN 1 ELSE 0 END"))}
+      FROM (SELECT *, list_position(s, list_max(s)) - 1 AS p, live[step + 1] AS now FROM (SELECT *, {each(_SCORE)} AS s FROM (
+        SELECT f.*, r.train, t.alpha, t.cap, t.tcap, list_transform(r.nbrs, lambda d: f.seen[d + 1]) AS near FROM two f JOIN one_rows r ON r.local = f.step CROSS JOIN one_totals t))))"""
         last = "two"
-    return f"WITH RECURSIVE {_needed('SELECT * FROM nodes, edges')}, {sql}\nSELECT CAST(unnest(range(0, len(live))) AS BIGINT) AS node, unnest(live) AS part FROM {last} WHERE step = (SELECT n FROM totals)"
+    return f"WITH RECURSIVE {_needed('SELECT * FROM nodes, edges')}, {sql}\nSELECT CAST(unnest(range(0, len(live))) AS BIGINT) AS node, unnest(live) AS part FROM {last} WHERE step = (SELECT n FROM one_totals)"
+
+
+def _fennel_two_level() -> str:
+    """Four parts, each of which is split into five; neighbours elsewhere count as entries."""
+    inner = """SELECT a.grp, a.local, a.train, coalesce(list(CASE WHEN b.grp = a.grp THEN b.local ELSE -1 END) FILTER (WHERE e.dst IS NOT NULL), []) AS nbrs
+      FROM members a LEFT JOIN edges e ON e.src = a.node LEFT JOIN members b ON b.node = e.dst GROUP BY a.grp, a.local, a.train"""
+    members = "SELECT node, grp, row_number() OVER (PARTITION BY grp ORDER BY node) - 1 AS local, node % 10 < 6 AS train FROM (SELECT CAST(unnest(range(0, len(live))) AS BIGINT) AS node, unnest(live) AS grp FROM one WHERE step = (SELECT n FROM one_totals))"
+    return f"""WITH RECURSIVE {_needed('SELECT * FROM nodes, edges')}, {_placed("one", 4, 1.3, _WHOLE, _TRAINED)},
+    members AS MATERIALIZED ({members}), {_placed("two", 5, 1.3, inner, _TRAINED)},
+    ends AS (SELECT two.grp, two.live FROM two JOIN two_totals t ON t.grp = two.grp AND t.n = two.step),
+    split AS (SELECT grp, CAST(unnest(range(0, len(live))) AS BIGINT) AS local, unnest(live) AS part FROM ends)
+SELECT m.node, m.grp AS part1, m.grp * 5 + s.part AS part FROM members m JOIN split s ON s.grp = m.grp AND s.local = m.local"""
 
 
 def _needed(select: str) -> str:
@@ -179,6 +208,9 @@ STATEMENTS: dict[str, str] = {
     "sample_full": f"SELECT batch, src, dst, idx, r FROM ({_sample(0, 't0', -1)})",
     "sample_k": f"SELECT batch, src, dst, idx, r FROM ({_sample(0, 't0', 10)})",
     "sample_replace": f"SELECT d.batch, d.node AS src, e.dst, d.idx, d.r FROM (SELECT t.batch, t.node, t.idx, j.r, CAST('0x' || substr({_key('t.batch', "'0'", 't.node', 'j.r')}, 1, 8) AS BIGINT) % g.deg AS at FROM t0 t JOIN deg g ON g.node = t.node AND g.deg > 0 CROSS JOIN range(1, 6) j(r)) d JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS at FROM edges) e ON e.src = d.node AND e.at = d.at",
+    "trace_roundtrip": f"SELECT * FROM ({_blocks('r0', 'r1')}) WHERE batch < 3",
+    "sample_valid_mode": f"SELECT batch, src, dst, idx, r FROM ({_sample(0, 'v0', 10)})",
+    "part_folders": "SELECT CAST(a.part AS BIGINT) AS part, a.node, e.dst FROM assignment a JOIN splits s ON s.node = a.node AND s.split = 'train' JOIN edges e ON e.src = a.node WHERE a.part IN (1, 5, 12)",
     "sample_khop3": _blocks("r0", "r1", "r2"),
     "sample_nid_relabel": "SELECT r.batch, r.src AS dst_node, r.dst AS src_node, r.idx AS dst_local, t.idx AS src_local FROM r1 r JOIN t2 t ON t.batch = r.batch AND t.node = r.dst",
     "sample_profiling_first_discovery": _blocks("f0", "f1"),
@@ -194,6 +226,10 @@ STATEMENTS: dict[str, str] = {
     "cache_candidates": "SELECT 'emb' AS kind, rank - 1 AS slot, node FROM io_ranks WHERE rank <= (SELECT n_emb FROM plan) UNION ALL SELECT 'feat', rank - 1, node FROM freq_ranks WHERE rank <= (SELECT n_feat FROM plan)",
     "neighbor_cache": "SELECT node, address FROM cache",
     "neighbor_cache_fill": "SELECT c.address AS pos, d.deg AS word FROM cache c JOIN deg d ON d.node = c.node UNION ALL SELECT c.address + row_number() OVER (PARTITION BY c.node ORDER BY e.dst), e.dst FROM cache c JOIN edges e ON e.src = c.node",
+    "neighbor_cache_roundtrip": "SELECT c.node, e.dst FROM cache c JOIN edges e ON e.src = c.node",
+    "feature_gather_zerocopy": "SELECT a.batch, a.idx, round(sum(x.x), 6) AS total FROM access a JOIN entries x ON x.node = a.node GROUP BY a.batch, a.idx",
+    "sage_forward": "SELECT batch, node, pos, round(y - max(y) OVER w - ln(sum(exp(y)) OVER w / exp(max(y) OVER w)), 6) AS value FROM outer_layer WINDOW w AS (PARTITION BY batch, node)",
+    "emb_pull_values": "SELECT f.batch, f.node, x.pos, round(avg(x.x), 6) AS value FROM fold f JOIN r1 r ON r.batch = f.last AND r.src = f.node JOIN entries x ON x.node = r.dst WHERE f.action = 'pull' GROUP BY f.batch, f.node, x.pos",
     "feature_gather": "SELECT t.batch, t.idx, t.node, x.pos, round(x.x, 6) AS value FROM t0 t JOIN entries x ON x.node = t.node",
     "feature_gather_cached": "SELECT a.batch, a.idx, a.node, a.hit, CASE WHEN a.hit THEN a.slot ELSE -1 END AS slot, round(sum(x.x), 6) AS total FROM access a JOIN entries x ON x.node = a.node GROUP BY ALL",
     "feature_cache_table": "SELECT n.node, CAST(CASE WHEN c.slot IS NULL THEN -2 ELSE -1 END AS BIGINT) AS state, coalesce(c.slot, -1) AS slot FROM nodes n LEFT JOIN candidates c ON c.node = n.node",
@@ -212,4 +248,4 @@ STATEMENTS: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     found = {name: f"WITH RECURSIVE {_needed(text)}\n{text}" for name, text in STATEMENTS.items()}
-    return found | {"fennel_small": _fennel(1.1, 1), "fennel_refine_small": _fennel(1.3, 2)}
+    return found | {"fennel": _fennel(1), "fennel_refine": _fennel(2), "fennel_two_level": _fennel_two_level()}

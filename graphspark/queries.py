@@ -6,6 +6,7 @@ is in ``oracle``. Results are scalar columns; floats are rounded to 6 places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from graphspark.operators import batching, caches, cuts, gather, ingest, partition, profiling, sage, sampling, selection
 from graphspark.plans import cache_plan
-from graphspark.session import settled
-from graphspark.sources import graphs
+from graphspark.session import settled, settled_dir
+from graphspark.sources import graphs, store
+from graphspark.sources.store import Graph
 
 SEED, PARTS, PARTITION_BATCH, BATCH = 7, 20, 4, 100
 SIZES = [3, 2, 2]
@@ -160,10 +162,27 @@ def fetch_split_nodes(spark, sf_dir):
     return selection.fetch_split_nodes(s.assignment, s.splits, "valid")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{settled_dir(spark)}/saved-{uuid.uuid4().hex}"
+
+
 @query
 def edge_source_roundtrip(spark, sf_dir):
-    s = Setting(spark, sf_dir)
-    return settled(s.edges, "roundtrip")
+    s, path = Setting(spark, sf_dir), _folder(spark)
+    known = s.features()
+    Graph(s.nodes, s.edges, known.select("node", "feat"), known.select("node", "label"), s.splits).save(path)
+    return Graph.load(spark, path).edges
+
+
+@query
+def part_folders(spark, sf_dir):
+    """Partition folders, written and then read for some parts only."""
+    s, path = Setting(spark, sf_dir), _folder(spark)
+    store.save_partitioned(s.edges, s.assignment, s.splits, path)
+    edges, members = store.load_parts(spark, path, [1, 5, 12])
+    rows = members.where("split = 'train'").select("part", "node").join(edges.select(F.col("src").alias("node"), "dst"), "node")
+    return rows.select(F.col("part").cast("long").alias("part"), "node", "dst")
 
 
 @query
@@ -214,55 +233,36 @@ def first_level_relabel(spark, sf_dir):
     return cuts.first_level_relabel(s.edges, s.assignment)
 
 
-SMALL, SMALL_PARTS = 60, 4
-
-
-def _small(spark, sf_dir):
-    """The subgraph of the first nodes, small enough for a recursive query."""
-    s = Setting(spark, sf_dir)
-    nodes = s.nodes.where(F.col("node") < SMALL)
-    edges = s.edges.where((F.col("src") < SMALL) & (F.col("dst") < SMALL))
-    return nodes, edges, s.splits.where((F.col("split") == "train") & (F.col("node") < SMALL)).select("node")
-
-
-@query
-def fennel_small(spark, sf_dir):
-    nodes, edges, train = _small(spark, sf_dir)
-    return partition.fennel(nodes, edges, train, SMALL_PARTS).select("node", F.col("part").cast("long").alias("part"))
-
-
-@query
-def fennel_refine_small(spark, sf_dir):
-    nodes, edges, train = _small(spark, sf_dir)
-    return partition.fennel(nodes, edges, train, SMALL_PARTS, rounds=2, imbalance=1.3).select("node", F.col("part").cast("long").alias("part"))
-
-
 def _train(s: Setting) -> DataFrame:
     return s.splits.where(F.col("split") == "train").select("node")
 
 
+def _longs(df: DataFrame) -> DataFrame:
+    return df.select("node", *(F.col(x).cast("long").alias(x) for x in df.columns if x != "node"))
+
+
 @query
 def fennel(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3)
+    return _longs(partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3))
 
 
 @query
 def fennel_refine(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3, rounds=2)
+    return _longs(partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3, rounds=2))
 
 
 @query
 def fennel_bloom(spark, sf_dir):
     s = Setting(spark, sf_dir)
-    return partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3, membership="bloom")
+    return _longs(partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3, membership="bloom"))
 
 
 @query
 def fennel_two_level(spark, sf_dir):
     s = Setting(spark, sf_dir).settle()
-    return partition.fennel_two_level(s.nodes, s.edges, _train(s), PARTS, 4, imbalance=1.3)
+    return _longs(partition.fennel_two_level(s.nodes, s.edges, _train(s), PARTS, 4, imbalance=1.3))
 
 
 # sampling
@@ -291,6 +291,23 @@ def sample_khop3(spark, sf_dir):
     return layered(Setting(spark, sf_dir).khop(3)[1], ROW)
 
 
+@query
+def trace_roundtrip(spark, sf_dir):
+    """Sampled rows, written as a trace and read again for the first batches."""
+    levels, rows = Setting(spark, sf_dir).khop(2)
+    path = _folder(spark)
+    store.save_trace(levels, rows, path)
+    return layered(store.load_trace(spark, path, [0, 1, 2])[1], ROW)
+
+
+@query
+def sample_valid_mode(spark, sf_dir):
+    """Batches of the nodes for validation."""
+    s = Setting(spark, sf_dir)
+    seeds = batching.mini_batches(s.assignment, s.splits, BATCH, PARTITION_BATCH, SEED, split="valid")
+    return sampling.sample_layer(seeds, s.edges, 10, SEED, 0).selectExpr(*ROW)
+
+
 @query
 def sample_nid_relabel(spark, sf_dir):
     levels, rows = Setting(spark, sf_dir).khop(2)
@@ -398,6 +415,26 @@ def neighbor_cache_fill(spark, sf_dir):
     return caches.neighbor_cache_fill(settled(_neighbor_cache(s), "cache"), s.edges)
 
 
+@query
+def neighbor_cache_roundtrip(spark, sf_dir):
+    """The cache as written, and the neighbours that its words name."""
+    s, path = Setting(spark, sf_dir), _folder(spark)
+    cache = settled(_neighbor_cache(s), "cache")
+    store.save_neighbor_cache(cache, caches.neighbor_cache_fill(cache, s.edges), NEIGHBOR_BYTES * s.n, path)
+    return store.cached_rows(*store.load_neighbor_cache(spark, path)[:2])
+
+
+@query
+def feature_gather_zerocopy(spark, sf_dir):
+    """Hits by slot and misses by row, and both put together again, per access."""
+    s = Setting(spark, sf_dir)
+    access = s.access()
+    known, chosen = s.features(), s.candidates()
+    misses, hits, _ = gather.gather_parts(access, known, chosen)
+    both = gather.merged(misses, hits, gather.gather(chosen, known).select("slot", "feat"))
+    return both.select("batch", "idx", F.round(F.expr("aggregate(feat, CAST(0 AS DOUBLE), (a, x) -> a + x)"), 6).alias("total"))
+
+
 @query
 def feature_gather(spark, sf_dir):
     s = Setting(spark, sf_dir)
@@ -465,6 +502,28 @@ def sage_layer(spark, sf_dir):
     return exploded(_first_layer(Setting(spark, sf_dir)), ["batch", "node"], "x")
 
 
+@query
+def sage_forward(spark, sf_dir):
+    """Two layers: the first over all one-hop nodes, cut off at zero; the second over the seeds."""
+    s = Setting(spark, sf_dir)
+    levels, rows = s.khop(2)
+    bias = sage.weights(HIDDEN, 1, 3)[:, 0]
+    inner = sage.sage_layer(levels[1], rows[1], _states(s, levels[2]), sage.weights(HIDDEN, 64, 1), bias, sage.weights(HIDDEN, 64, 2))
+    out = sage.sage_layer(levels[0], rows[0], settled(inner, "hidden"), sage.weights(CLASSES, HIDDEN, 4), sage.weights(CLASSES, 1, 6)[:, 0], sage.weights(CLASSES, HIDDEN, 5), last=True)
+    return exploded(out.withColumn("x", sage.log_softmax(F.col("x"))), ["batch", "node"], "x")
+
+
+@query
+def emb_pull_values(spark, sf_dir):
+    """What each pull reads: the mean over the node's row in the batch that pushed it."""
+    s = Setting(spark, sf_dir).settle()
+    levels, rows = sampling.sample_khop(s.batches(), s.edges, SIZES[:2], SEED)
+    actions = settled(caches.embedding_actions(levels[1].join(s.candidates().select("node"), "node", "left_semi").select("batch", "node"), STALENESS), "actions")
+    vectors = sage.mean_aggregate(rows[1], _states(s, levels[2])).withColumnRenamed("mean", "vec")
+    pushed = vectors.join(actions.where("action = 'push'").select("batch", "node"), ["batch", "node"])
+    return exploded(caches.pulled_embeddings(actions, pushed), ["batch", "node"], "vec")
+
+
 @query
 def relu(spark, sf_dir):
     return exploded(_first_layer(Setting(spark, sf_dir)).withColumn("x", sage.relu("x")), ["batch", "node"], "x")
