@@ -3,7 +3,8 @@
 A layer's targets are ``batch, node, idx``; a sampled row is ``batch, layer,
 src (target), dst (neighbour), idx (the target's), r (rank in its row)``. All
 batches are sampled in one plan. The choice of a row's neighbours is a rank by
-hash, which Spark cuts off before the shuffle (window group limit).
+hash, taken within the stored row, before anything is shuffled; the rows of
+hubs are stored in pieces, whose best are ranked once more.
 """
 
 from __future__ import annotations
@@ -15,12 +16,24 @@ from graphspark.functions.keys import draw, order_key
 from graphspark.session import settled
 
 ROW = ["batch", "layer", "src", "dst", "idx", "r"]
+#: Neighbours that a piece of a stored row holds, on average, at most.
+PIECE = 4096
 
 
-def sample_layer(targets: DataFrame, edges: DataFrame, k: int, seed: int, layer: int, replace: bool = False) -> DataFrame:
+def stored_rows(edges: DataFrame) -> DataFrame:
+    """``src, nbrs, pieces``: each node's neighbours in one array, those of hubs in
+    several, dealt by hash."""
+    hubs = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > PIECE).select(F.col("src").alias("hub"), F.ceil(F.col("deg") / PIECE).cast("int").alias("n"))
+    dealt = edges.join(settled(hubs, "hubs"), F.col("src") == F.col("hub"), "left").withColumn("pieces", F.coalesce("n", F.lit(1)))
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("dst"), F.col("pieces")))
+    return dealt.groupBy("src", "piece", "pieces").agg(F.collect_list("dst").alias("nbrs")).select("src", "nbrs", "pieces")
+
+
+def sample_layer(targets: DataFrame, edges: DataFrame, k: int, seed: int, layer: int, replace: bool = False, stored: DataFrame | None = None) -> DataFrame:
     """Rows of all targets: ``k`` distinct neighbours of each, all if it has
     fewer or if ``k`` is negative; with ``replace``, ``k`` independent draws
-    (``r`` is the draw). A target without neighbours has no row."""
+    (``r`` is the draw). A target without neighbours has no row. ``stored``:
+    ``stored_rows(edges)``, if they are at hand."""
     if replace and k >= 0:
         order = Window.partitionBy("src").orderBy("dst")
         placed = edges.withColumn("at", F.row_number().over(order) - 1)
@@ -29,10 +42,18 @@ def sample_layer(targets: DataFrame, edges: DataFrame, k: int, seed: int, layer:
         draws = draws.withColumn("at", draw(order_key(seed, "batch", layer, "node", "r"), F.col("deg")))
         rows = draws.join(placed, (draws["node"] == placed["src"]) & (draws["at"] == placed["at"]))
         return rows.select("batch", F.lit(layer).alias("layer"), "src", "dst", "idx", F.col("r").cast("int").alias("r"))
-    rows = targets.join(edges, F.col("node") == F.col("src")).withColumn("layer", F.lit(layer))
-    order = Window.partitionBy("batch", "src").orderBy(order_key(seed, "batch", layer, "src", "dst"), "dst")
-    rows = rows.withColumn("r", F.row_number().over(order))
-    return (rows if k < 0 else rows.where(F.col("r") <= k)).select(*ROW)
+    stored = stored_rows(edges) if stored is None else stored
+    keyed = F.sort_array(F.transform("nbrs", lambda d: F.struct(order_key(seed, "batch", layer, "src", d).alias("key"), d.alias("dst"))))
+    best = keyed if k < 0 else F.slice(keyed, 1, k)
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        found = targets.select("batch", "node", "idx").join(rows, F.col("node") == F.col("src"))
+        return found.select("batch", F.lit(layer).alias("layer"), "src", "idx", F.posexplode(best).alias("at", "x")).select("batch", "layer", "src", "x.dst", "x.key", "idx", (F.col("at") + 1).alias("r"))
+
+    order = Window.partitionBy("batch", "src").orderBy("key", "dst")
+    hubs = chosen(stored.where("pieces > 1")).withColumn("r", F.row_number().over(order))
+    hubs = hubs if k < 0 else hubs.where(F.col("r") <= k)
+    return chosen(stored.where("pieces = 1")).select(*ROW).union(hubs.select(*ROW))
 
 
 def discoveries(targets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -67,12 +88,13 @@ def sample_khop(targets: DataFrame, edges: DataFrame, sizes: list[int], seed: in
     the layer before had already keeps its row; else all rows are drawn again.
     """
     levels, rows = [settled(targets.select("batch", "node", "idx"), "targets")], []
+    stored = settled(stored_rows(edges), "stored")
     for layer, k in enumerate(sizes):
         if reuse and layer:
             new = levels[layer].join(levels[layer - 1].select("batch", "node"), ["batch", "node"], "left_anti")
-            made = rows[-1].unionByName(sample_layer(new, edges, k, seed, layer, replace))
+            made = rows[-1].unionByName(sample_layer(new, edges, k, seed, layer, replace, stored))
         else:
-            made = sample_layer(levels[layer], edges, k, seed, layer, replace)
+            made = sample_layer(levels[layer], edges, k, seed, layer, replace, stored)
         rows.append(settled(made, "rows"))
         levels.append(settled(next_targets(levels[layer], rows[-1]), "targets"))
     return levels, rows
@@ -90,7 +112,8 @@ def sample_pruned(targets: DataFrame, edges: DataFrame, candidates: DataFrame, s
     from graphspark.operators.caches import embedding_actions
 
     levels = [settled(targets.select("batch", "node", "idx"), "targets")]
-    rows = [settled(sample_layer(levels[0], edges, sizes[0], seed, 0), "rows")]
+    stored = settled(stored_rows(edges), "stored")
+    rows = [settled(sample_layer(levels[0], edges, sizes[0], seed, 0, stored=stored), "rows")]
     levels.append(settled(next_targets(levels[0], rows[0]), "targets"))
     actions = settled(embedding_actions(levels[1].join(candidates.select("node"), "node", "left_semi").select("batch", "node"), staleness), "actions")
     pulled = actions.where("action = 'pull'").select("batch", "node")
@@ -103,7 +126,7 @@ def sample_pruned(targets: DataFrame, edges: DataFrame, candidates: DataFrame, s
         kept = rows[-1].join(pulled.select("batch", F.col("node").alias("src")), ["batch", "src"], "left_anti").select(*ROW)
         new = levels[layer].join(levels[layer - 1].select("batch", "node"), ["batch", "node"], "left_anti").join(pulled, ["batch", "node"], "left_anti")
         fresh = new.select("batch", "node", "idx").unionByName(levels[layer].join(again, ["batch", "node"], "left_semi").select("batch", "node", "idx"))
-        rows.append(settled(kept.unionByName(sample_layer(fresh, edges, sizes[layer], seed, layer)), "rows"))
+        rows.append(settled(kept.unionByName(sample_layer(fresh, edges, sizes[layer], seed, layer, stored=stored)), "rows"))
         levels.append(settled(next_targets(levels[layer], rows[-1]), "targets"))
     return levels, rows, actions
 

@@ -232,6 +232,16 @@ def test_star_and_fan_out(spark):
     assert sampling.sample_layer(t, edges(spark, []), 3, 1, 0).collect() == []
 
 
+def test_hubs_in_pieces_are_sampled_alike(spark, monkeypatch):
+    e = edges(spark, both([(0, k) for k in range(1, 120)] + [(1, k) for k in range(40, 90)] + [(200, 201)]))
+    t = batches(spark, 202, 60)
+    whole = {k: rows(sampling.sample_layer(t, e, k, 3, 1)) for k in (-1, 0, 4, 70)}
+    monkeypatch.setattr(sampling, "PIECE", 8)
+    assert sampling.stored_rows(e).where("pieces > 1").count() > 10
+    for k, want in whole.items():
+        assert rows(sampling.sample_layer(t, e, k, 3, 1)) == want
+
+
 def test_layers_number_and_reuse(spark):
     n, e = 80, random_graph(80, 300, 9)
     for reuse in (False, True):
