@@ -160,3 +160,12 @@ def test_sample_is_bounded_with_one_hot_language_and_id(make_docs):
     assert Counter(x.lang for x in found) == {"hot": 40, "few": 30}
     assert len({x.doc_id for x in found}) == 70
     assert sorted(map(tuple, found)) == sorted(map(tuple, drawn(known.repartition(7), 40, 2).collect()))
+
+
+def test_very_long_texts(make_docs):
+    """Ten megabytes of one language, and of marks with one letter at the end."""
+    rows, langs = corpus(120)
+    model = fit(make_docs(rows, langs))
+    found = {x.doc_id: x for x in identify(make_docs(["the ing and " * 900_000, "1 . " * 2_500_000 + "z"]), model).collect()}
+    assert found[0].lang_pred == "aa" and not found[0].rejected
+    assert found[1].lang_pred != UNKNOWN and 0 <= found[1].score <= 1

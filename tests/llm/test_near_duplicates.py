@@ -20,7 +20,7 @@ def shingles(text):
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(k, shingles(t)) for k, t in rows]
     root = {k: k for k, _ in rows if k is not None}
 
@@ -32,7 +32,7 @@ def brute(rows):
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
             both = len(x & y)
-            if a is not None and b is not None and both and 100 * both >= 85 * (len(x) + len(y) - both):
+            if a is not None and b is not None and both and 100 * both >= percent * (len(x) + len(y) - both):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {k: (len(s), find(k)) for k, s in sets if k is not None}
