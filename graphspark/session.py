@@ -42,11 +42,15 @@ def settled_dir(spark: SparkSession) -> str:
     return f"file:///tmp/graphspark-settled/{app}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: what follows neither
-    grows the plan nor computes it twice, and survives a lost executor."""
+    grows the plan nor computes it twice, and survives a lost executor. With
+    ``by``, a folder per value of that column: a filter on it reads that one alone."""
     path = f"{settled_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.repartition(by).write.partitionBy(by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
