@@ -241,16 +241,19 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.select("node", *(F.col(x).cast("long").alias(x) for x in df.columns if x != "node"))
 
 
+def _one_level(spark, sf_dir, **options) -> DataFrame:
+    s = Setting(spark, sf_dir)
+    return _longs(partition.fennel(s.nodes, graphs.co_purchase(spark, sf_dir, by_src=True), _train(s), PARTS // 2, imbalance=1.3, **options))
+
+
 @query
 def fennel(spark, sf_dir):
-    s = Setting(spark, sf_dir)
-    return _longs(partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3))
+    return _one_level(spark, sf_dir)
 
 
 @query
 def fennel_refine(spark, sf_dir):
-    s = Setting(spark, sf_dir)
-    return _longs(partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3, rounds=2))
+    return _one_level(spark, sf_dir, rounds=2)
 
 
 @query

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphspark.functions.bloom import BloomFilter, bloom_size
 from graphspark.operators import batching, caches, cuts, gather, ingest, partition, profiling, sage, sampling, selection
@@ -203,6 +204,41 @@ def test_bloom_membership_at_the_usual_rate(spark):
     assert plain_bloom_fennel(n, e, 4, 1.6, 0.1) != plain_fennel(n, e, set(), 4, 1.6)
 
 
+def test_fennel_with_rows_in_many_pieces(spark):
+    n, e = 40, random_graph(40, 300, 9)
+    train_ids = {k for k in range(n) if k % 3}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = partition.fennel(nodes(spark, n), edges(spark, [*e, (3, 40), (-1, 2)]), ids(spark, train_ids), 4, imbalance=1.5)
+        assert [p for _, p in rows(found)] == plain_fennel(n, e, train_ids, 4, 1.5)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fennel_sends_no_edges_by_way_of_the_driver(spark, tmp_path):
+    """Edges made by pairing look as small to Spark as the file that they are made from."""
+    e = random_graph(48, 150, 1)
+    spark.createDataFrame([(a, [y for x, y in e if x == a]) for a in range(48)], "src long, near array<long>").write.parquet(f"{tmp_path}/near")
+    pairs = spark.read.parquet(f"{tmp_path}/near").select("src", F.explode("near").alias("dst"))
+    every, flags = ids(spark, range(48)), ids(spark, range(0, 48, 3))
+
+    def sent(run) -> bool:
+        state, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+
+        def plans() -> dict[int, str]:
+            bus.waitUntilEmpty()
+            found = state.executionsList()
+            return {x.executionId(): x.physicalPlanDescription() for x in (found.apply(k) for k in range(found.size()))}
+
+        before = plans()
+        run().collect()
+        return any("BroadcastExchange" in plan for k, plan in plans().items() if k not in before)
+
+    assert sent(lambda: pairs.join(every.withColumnRenamed("node", "src"), "src"))
+    assert not sent(lambda: partition.fennel(every, pairs, flags, 4, imbalance=1.6))
+    assert not sent(lambda: partition.fennel_two_level(every, pairs, flags, 6, 2, imbalance=1.6))
+
+
 def test_first_level_numbers(spark):
     e = both([(0, 1), (1, 2), (2, 3), (3, 4), (0, 4), (1, 4)])
     parts = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)], "node long, part int")
