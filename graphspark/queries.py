@@ -258,8 +258,7 @@ def fennel_refine(spark, sf_dir):
 
 @query
 def fennel_bloom(spark, sf_dir):
-    s = Setting(spark, sf_dir)
-    return _longs(partition.fennel(s.nodes, s.edges, _train(s), PARTS // 2, imbalance=1.3, membership="bloom"))
+    return _one_level(spark, sf_dir, membership="bloom")
 
 
 @query

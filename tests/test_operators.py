@@ -211,6 +211,8 @@ def test_fennel_with_rows_in_many_pieces(spark):
     try:
         found = partition.fennel(nodes(spark, n), edges(spark, [*e, (3, 40), (-1, 2)]), ids(spark, train_ids), 4, imbalance=1.5)
         assert [p for _, p in rows(found)] == plain_fennel(n, e, train_ids, 4, 1.5)
+        found = partition.fennel(nodes(spark, n), edges(spark, [*e, (3, 40), (-1, 2)]), ids(spark, []), 4, imbalance=1.5, membership="bloom")
+        assert [p for _, p in rows(found)] == plain_bloom_fennel(n, e, 4, 1.5, 0.1)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -236,6 +238,7 @@ def test_fennel_sends_no_edges_by_way_of_the_driver(spark, tmp_path):
 
     assert sent(lambda: pairs.join(every.withColumnRenamed("node", "src"), "src"))
     assert not sent(lambda: partition.fennel(every, pairs, flags, 4, imbalance=1.6))
+    assert not sent(lambda: partition.fennel(every, pairs, flags, 4, imbalance=1.6, membership="bloom"))
     assert not sent(lambda: partition.fennel_two_level(every, pairs, flags, 6, 2, imbalance=1.6))
 
 
